@@ -20,11 +20,12 @@ ZONES = {
 
 _TIME = r"(?P<H>9{1,2}):(?P<M>99)(?::(?P<S>99)(?:[.,](?P<f>9{1,9}))?)?(?: ?(?P<w>a{1,5}))?(?: (?P<w2>a{2,5}))?(?: ?(?P<off>[+-]99:?(?:99)?))?"
 
-#: (kind, mask pattern). kind: abs or local as the zone says; dm: order of day and month is the log's; yl: no year.
+#: (kind, mask pattern). kind: ymd has a date (with dots the day comes first); dm: order of day and month is the log's; yl: no year.
 GRAMMARS = [
     ("ymd", re.compile(rf"(?P<y>9999)(?P<s>[-/.])(?P<m>9{{1,2}})(?P=s)(?P<d>9{{1,2}})[ a]{_TIME}")),
     ("ymd", re.compile(r"(?P<y>9999)(?P<m>99)(?P<d>99)[ a](?P<H>99)(?P<M>99)(?P<S>99)(?:[.,](?P<f>9{1,9}))?(?P<w>a)?(?P<off>[+-]99:?99)?")),
-    ("dm", re.compile(rf"(?P<a>9{{1,2}})(?P<s>[-/.])(?P<b>9{{1,2}})(?P=s)(?P<y>9999),?[ a]{_TIME}")),
+    ("ymd", re.compile(rf"(?P<d>9{{1,2}})\.(?P<m>9{{1,2}})\.(?P<y>9999),?[ a]{_TIME}")),
+    ("dm", re.compile(rf"(?P<a>9{{1,2}})(?P<s>[-/])(?P<b>9{{1,2}})(?P=s)(?P<y>9999),?[ a]{_TIME}")),
     ("ymd", re.compile(r"(?P<d>9{1,2})/(?P<mon>aaa)/(?P<y>9999):(?P<H>99):(?P<M>99):(?P<S>99)(?: (?P<off>[+-]99:?99))?")),
     ("ymd", re.compile(rf"(?:(?P<wd>aaa), )?(?P<d>9{{1,2}})\.? (?P<mon>aaa)\.? (?P<y>9999) {_TIME}")),
     ("ymd", re.compile(r"(?:(?P<wd>aaa) )?(?P<mon>aaa) {1,2}(?P<d>9{1,2}) (?P<H>99):(?P<M>99):(?P<S>99)(?:[.,](?P<f>9{1,9}))?(?: (?P<w>a{2,5}))? (?P<y>9999)")),

@@ -49,7 +49,7 @@ def with_masks(df: DataFrame) -> DataFrame:
 
 #: Stamps that need nothing of their log.
 _ABSOLUTE = r"^[0-9]{9,19}(\.[0-9]+)?$|^[0-9]{4}.*[0-9][ ]?([+-][0-9]{2}:?[0-9]{2}|Z)$|^[0-9]{4}.*[0-9] [A-Z]{3,5}$|^[A-Z][a-z]{2}, .* ([+-][0-9]{4}|[A-Z]{3,5})$|^[0-9]{1,2}/[A-Za-z]{3}/[0-9]{4}:.* [+-][0-9]{4}$"
-_ORDERED = r"^9{1,2}([-/.])9{1,2}\19999"
+_ORDERED = r"^9{1,2}([-/])9{1,2}\19999"
 _YEARLESS = r"^(aaa {1,2}9{1,2} 99:|99-99 99:|a?9999 99:)"
 
 
