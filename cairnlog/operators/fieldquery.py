@@ -7,7 +7,6 @@ import re
 from dataclasses import dataclass
 from decimal import Decimal, InvalidOperation
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -128,9 +127,8 @@ def sort_key(text: str | None) -> str | None:
 _NINES = str.maketrans("0123456789", "9876543210")
 
 
-@F.pandas_udf("string")
-def decimal_key(v: pd.Series) -> pd.Series:
-    return v.map(sort_key)
+def decimal_key(v: Column) -> Column:
+    return F.pandas_udf(lambda x: x.map(sort_key), "string")(v)
 
 
 def field_values(lines: DataFrame, patterns: dict[str, str], text: str = "text") -> DataFrame:
