@@ -60,8 +60,8 @@ def _pairs(gap: int, blank: int):
             names = {e: k for k, e in enumerate(dict.fromkeys(entity))}
             code = np.array([names[e] for e in entity], dtype=np.int64)
             rows = np.unique(np.stack([code[seq[i]], v[i], v[j]], 1), axis=0) if len(i) else np.zeros((0, 3), dtype=np.int64)
-            back = np.array(list(names), dtype=object)
-            yield pa.RecordBatch.from_arrays([pa.array(back[rows[:, 0]] if len(rows) else [], pa.string()), pa.array(rows[:, 1]), pa.array(rows[:, 2])], names=["entity", "a", "b"])
+            back = list(names)
+            yield pa.RecordBatch.from_arrays([pa.array([back[i] for i in rows[:, 0].tolist()], pa.string()), pa.array(rows[:, 1]), pa.array(rows[:, 2])], names=["entity", "a", "b"])
 
     return run
 
@@ -175,7 +175,8 @@ def _mine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     yield flush()
             held.append(automaton)
     close()
-    yield flush()
+    if weights:
+        yield flush()
 
 
 def frequent_subsequences(sequences: DataFrame, entity: str = "source_file", items: str = "template_ids", share: float = 0.12, at_least: int = 3, gap: int = 4, shortest: int = 3, longest: int = 5, blank: int = 0) -> DataFrame:
