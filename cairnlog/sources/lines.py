@@ -44,8 +44,19 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     rows = raw.withColumn("i", F.row_number().over(inside) - 1).withColumn("b", F.sum("size").over(inside.rowsBetween(W.unboundedPreceding, 0)) - F.col("size")).join(before, ["doc_id", "split"])
     text = line_text(F.call_function("make_valid_utf8", F.col("value")))
     rows = rows.select("doc_id", (F.col("n0") + F.col("i")).alias("line_no"), (F.col("b0") + F.col("b")).alias("byte_start"), F.octet_length("value").alias("byte_len"), text.alias("text"))
-    files = spark.read.format("binaryFile").load(path).filter("length = 0").select(F.col("path").alias("doc_id"), F.lit(0).cast("long").alias("line_no"), F.lit(0).cast("long").alias("byte_start"), F.lit(0).alias("byte_len"), F.lit("").alias("text"))
-    return rows.unionByName(files)
+    blank = [(name, 0, 0, 0, "") for name in empty_files(spark, path)]
+    return rows.unionByName(spark.createDataFrame(blank, rows.schema)) if blank else rows
+
+
+def empty_files(spark: SparkSession, path: str) -> list[str]:
+    """Files of size 0 under a path or pattern: Spark's scans leave them out."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = []
+    for status in fs.globStatus(p) or []:
+        files = fs.listStatus(status.getPath()) if status.isDirectory() else [status]
+        found += [f.getPath().toString() for f in files if f.isFile() and f.getLen() == 0]
+    return found
 
 
 def split_text(df: DataFrame, key: str, text: str) -> DataFrame:
