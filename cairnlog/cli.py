@@ -22,7 +22,7 @@ def extract_template(spark: SparkSession, log: str, store: str, output: str, lay
     lines = read_lines(spark, log).select("line_no", "text")
     read = profiles.match_lines(lines, layout, profiles.Recognizer(FAMILIES), ["line_no"])
     message = F.coalesce(F.expr("fields['log'].value"), F.col("text"))
-    content = lines.join(read.select("line_no", "fields"), "line_no").select("line_no", masking.mask_line(message).alias("content"))
+    content = masking.masked(lines.join(read.select("line_no", "fields"), "line_no").select("line_no", message.alias("content")), "content")
     numbered, templates = drain.mine(content, stored=before)
     counts = {i: [t, c] for i, t, c in before}
     for r in templates.collect():

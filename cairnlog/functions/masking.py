@@ -7,8 +7,10 @@ own spacing, any other is joined by single blanks.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Mask classes and the expression of each, in order of trial. Expressions hold for whole tokens.
@@ -63,6 +65,56 @@ def mask_line(text: Column, off: frozenset[str] = frozenset()) -> Column:
     return F.when(masked == F.array_join(tokens, " "), text).otherwise(masked)
 
 
+_COMPILED: dict[frozenset[str], tuple] = {}
+_KEY_PY, _NUM_PY, _HEX_PY = re.compile(_KEY), re.compile(_NUM_RUN), re.compile(_HEX_RUN)
+#: A token without any of these characters stays as it is.
+_VARIABLE = re.compile(r"[0-9@/\\\[{:.]")
+#: Distinct tokens whose masks a worker remembers.
+MEMO = 65_536
+
+
+def mask_word(token: str, off: frozenset[str] = frozenset()) -> str:
+    """mask_token for one word, in Python."""
+    if not _VARIABLE.search(token):
+        return token
+    if off not in _COMPILED:
+        _COMPILED[off] = tuple([(f"<{n}>", re.compile(p)) for n, p in cs] for cs in enabled(off))
+    whole, values = _COMPILED[off]
+    for name, p in whole:
+        if p.match(token):
+            return name
+    if m := _KEY_PY.match(token):
+        return next((f"{m[1]}={name}" for name, p in (*whole, *values) if p.match(m[2])), token)
+    hit = next((name for name, p in values if p.match(token)), None)
+    return hit or _HEX_PY.sub("<HEX>", _NUM_PY.sub("<NUM>", token))
+
+
+def masked(df: DataFrame, column: str, off: frozenset[str] = frozenset()) -> DataFrame:
+    """mask_line of a column, by Arrow batches: each distinct token is masked once per worker and remembered."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo: dict[str, str] = {}
+        for b in batches:
+            out = []
+            for text in b.column(column).to_pylist():
+                if text is None:
+                    out.append(None)
+                    continue
+                words, changed = text.split(), False
+                for i, w in enumerate(words):
+                    m = memo.get(w)
+                    if m is None:
+                        if len(memo) >= MEMO:
+                            memo.clear()
+                        m = memo[w] = mask_word(w, off)
+                    if m is not w and m != w:
+                        words[i], changed = m, True
+                out.append(" ".join(words) if changed else text)
+            yield b.set_column(b.schema.get_field_index(column), column, pa.array(out, pa.string()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def class_of(token: str) -> str | None:
     """Driver twin: the class of a token, NUM etc. for its value if it is a pair, None if it stays as it is."""
     for name, pattern in CLASSES:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from cairnlog.session import stage
+from cairnlog.session import broadcast_if_small, stage
 
 WILDCARD, EMPTY = "<*>", "<EMPTY>"
 
@@ -34,7 +34,7 @@ class Cluster:
     tokens: list[str]
     birth: int
     count: int = 0
-    stored_id: int | None = None
+    stored: int = 0
 
 
 def similarity(template: list[str], tokens: list[str]) -> tuple[float, float]:
@@ -89,50 +89,75 @@ class Leaf:
         return best
 
 
+def level_keys(config: MinerConfig) -> list:
+    """Routing keys of a line: its number of tokens, then its first tokens."""
+    tokens = F.split(F.regexp_replace(F.col("content"), r"\s+", " "), " ")
+    return [F.size(tokens).cast("string"), *[F.coalesce(F.get(tokens, F.lit(i)), F.lit("*")) for i in range(max(1, config.depth - 2))]]
+
+
 def route(lines: DataFrame, config: MinerConfig = MinerConfig()) -> DataFrame:
-    """Adds leaf and overflow to (line_no, content). Level keys beyond `children` in order of first appearance share a
-    leaf; only a token level that overflows makes its lines join any template there."""
+    """Adds leaf and overflow to (line_no, content), lines without tokens left out.
+
+    Level keys beyond `children` in order of first appearance share a leaf; only a token level that overflows makes
+    its lines join any template there. Routes are worked out on the distinct keys, not on the lines.
+    """
     content = F.col("content")
     cut = F.when(F.octet_length(content) > config.max_bytes, F.call_function("make_valid_utf8", F.substring(F.encode(content, "UTF-8"), 1, config.max_bytes).cast("string"))).otherwise(content)
     df = lines.withColumn("content", F.trim(cut)).filter(F.length("content") > 0)
-    tokens = F.split(F.regexp_replace("content", r"\s+", " "), " ")
-    df = df.withColumn("_node", F.lit("")).withColumn("overflow", F.lit(False)).withColumn("_tokens", tokens)
-    keys = [F.size("_tokens").cast("string"), *[F.coalesce(F.get("_tokens", F.lit(i)), F.lit("*")) for i in range(max(1, config.depth - 2))]]
-    for level, key in enumerate(keys):
-        df = df.withColumn("_key", key)
-        first = df.groupBy("_node", "_key").agg(F.min("line_no").alias("_first"))
-        rank = F.row_number().over(W.partitionBy("_node").orderBy("_first", "_key"))
-        named = first.filter("_key <> '*'").withColumn("_own", rank <= config.children).select("_node", "_key", "_own")
-        df = df.join(named, ["_node", "_key"], "left")
+    names = [f"_k{i}" for i in range(len(level_keys(config)))]
+    df = df.select("*", *[k.alias(n) for k, n in zip(level_keys(config), names)])
+    routes = df.groupBy(*names).agg(F.min("line_no").alias("_first")).withColumn("leaf", F.lit("")).withColumn("overflow", F.lit(False))
+    for level, key in enumerate(names):
+        first = routes.groupBy("leaf", key).agg(F.min("_first").alias("_f")).filter(F.col(key) != "*")
+        rank = F.row_number().over(W.partitionBy("leaf").orderBy("_f", key))
+        named = first.withColumn("_rank", rank).filter(F.col("_rank") <= config.children).select("leaf", key, F.lit(True).alias("_own"))
+        routes = routes.join(named, ["leaf", key], "left")
         own = F.coalesce("_own", F.lit(False))
         if level:
-            df = df.withColumn("overflow", F.col("overflow") | ((F.col("_key") != "*") & ~own))
-        df = df.withColumn("_node", F.concat("_node", F.lit("\x1f"), F.when(own, F.concat(F.lit("="), F.col("_key"))).otherwise("*"))).drop("_own", "_key")
-    return df.withColumnRenamed("_node", "leaf").drop("_tokens")
+            routes = routes.withColumn("overflow", F.col("overflow") | ((F.col(key) != "*") & ~own))
+        routes = routes.withColumn("leaf", F.concat("leaf", F.lit("\x1f"), F.when(own, F.concat(F.lit("="), F.col(key))).otherwise("*"))).drop("_own")
+    routes = stage(routes.drop("_first"), "routes")
+    return df.join(broadcast_if_small(routes), names).drop(*names)
+
+
+_MINED = "leaf string, cluster int, line_no long, pattern string, birth long, n long"
 
 
 def _mine(config: MinerConfig, seeds: dict[str, list[tuple[int, list[str], int]]]):
+    """Rows come by leaf and line. Gives a row per line and, at a leaf's end, one per template (with a pattern)."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         leaf, name = Leaf(config), None
+
+        def templates() -> list[tuple]:
+            return [(name, k, None, " ".join(c.tokens), c.birth, c.count - c.stored) for k, c in enumerate(leaf.clusters) if c.count > c.stored]
+
         for pdf in batches:
             out = []
-            for n, line, content, overflow in zip(pdf["leaf"], pdf["line_no"], pdf["content"], pdf["overflow"]):
+            for n, line, content, overflow in zip(pdf["leaf"], pdf["line_no"].tolist(), pdf["content"], pdf["overflow"].tolist()):
                 if n != name:
+                    out += templates()
                     leaf, name = Leaf(config), n
-                    leaf.clusters = [Cluster(list(t), -1 - i, c, i) for i, t, c in seeds.get(n, [])]
-                k = leaf.add(content, int(line), bool(overflow))
-                c = leaf.clusters[k]
-                out.append((n, line, c.birth, k, " ".join(c.tokens)))
-            yield pd.DataFrame(out, columns=["leaf", "line_no", "birth", "cluster", "pattern_then"])
+                    leaf.clusters = [Cluster(list(t), -1 - i, c, c) for i, t, c in seeds.get(n, [])]
+                out.append((n, leaf.add(content, line, overflow), line, None, None, None))
+            yield _frame(out)
+        if leaf.clusters:
+            yield _frame(templates())
 
     return run
 
 
+def _frame(rows: list[tuple]) -> pd.DataFrame:
+    columns = [f.split()[0] for f in _MINED.split(", ")]
+    return pd.DataFrame(rows, columns=columns).astype({"cluster": "Int32", "line_no": "Int64", "birth": "Int64", "n": "Int64"})
+
+
 def mine(lines: DataFrame, config: MinerConfig = MinerConfig(), stored: list[tuple[int, list[str], int]] | None = None) -> tuple[DataFrame, DataFrame]:
     """(lines with template_id, templates) of (line_no, content); template 0 is the blank line.
 
     Ids follow the order in which templates were born. With stored templates (id, tokens, count) mining goes on
-    from them: they are routed by their own tokens and keep their ids.
+    from them: they are routed by their own tokens and keep their ids. The content is written once, so that what
+    computed it isn't run again for each step.
     """
     spark = lines.sparkSession
     seeds: dict[str, list[tuple[int, list[str], int]]] = {}
@@ -141,20 +166,21 @@ def mine(lines: DataFrame, config: MinerConfig = MinerConfig(), stored: list[tup
             keys = [str(len(tokens)), *[tokens[k] if k < len(tokens) else "*" for k in range(max(1, config.depth - 2))]]
             name = "".join("\x1f" + ("*" if k == "*" else "=" + k) for k in keys)
             seeds.setdefault(name, []).append((i, tokens, count))
-    routed = route(lines.select("line_no", "content"), config)
+    lines = stage(lines.select(F.col("line_no").cast("long").alias("line_no"), "content"), "content")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = routed.repartition(parts, "leaf").sortWithinPartitions("leaf", "line_no")
-    mined = stage(ordered.mapInPandas(_mine(config, seeds), "leaf string, line_no long, birth long, cluster int, pattern_then string"), "mined")
-    per = mined.groupBy("leaf", "cluster").agg(F.first("birth").alias("birth"), F.max_by("pattern_then", "line_no").alias("pattern"), F.count("*").alias("n"), F.min("line_no").alias("example_line"))
+    ordered = route(lines, config).repartition(parts, "leaf").sortWithinPartitions("leaf", "line_no")
+    mined = stage(ordered.select("leaf", "line_no", "content", "overflow").mapInPandas(_mine(config, seeds), _MINED), "mined")
+    per = mined.filter("pattern is not null").select("leaf", "cluster", "pattern", "birth", "n")
     after = max([i for i, _, _ in stored or []], default=0)
-    born = per.filter("birth >= 0").groupBy("birth").agg(F.lit(1).alias("_"))  # ids are the ranks of births: one row per template
-    ids = born.select("birth", (F.row_number().over(W.orderBy("birth")) + after).cast("int").alias("template_id"))
-    templates = per.join(ids, "birth", "left").withColumn("template_id", F.coalesce("template_id", (-1 - F.col("birth")).cast("int")))
+    ids = per.filter("birth >= 0").select("birth", (F.row_number().over(W.orderBy("birth")) + after).cast("int").alias("template_id"))  # one row per template
+    known = per.join(ids, "birth", "left").withColumn("template_id", F.coalesce("template_id", (-1 - F.col("birth")).cast("int")))
+    known = stage(known, "templates")
+    numbered = mined.filter("pattern is null").select("leaf", "cluster", "line_no").join(broadcast_if_small(known.select("leaf", "cluster", "template_id")), ["leaf", "cluster"]).select("line_no", "template_id")
+    examples = numbered.groupBy("template_id").agg(F.min("line_no").alias("example_line"))
     blank = lines.filter(F.length(F.trim(F.coalesce("content", F.lit("")))) == 0)
-    numbered = mined.select("leaf", "cluster", "line_no").join(templates.select("leaf", "cluster", "template_id"), ["leaf", "cluster"]).select("line_no", "template_id")
-    numbered = numbered.unionByName(blank.select("line_no", F.lit(0).alias("template_id")))
     zero = blank.agg(F.count("*").alias("n"), F.min("line_no").alias("example_line")).filter("n > 0").select(F.lit(0).alias("template_id"), F.lit(EMPTY).alias("pattern"), "n", "example_line")
-    return numbered, templates.select("template_id", "pattern", "n", "example_line").unionByName(zero)
+    templates = known.join(examples, "template_id").select("template_id", "pattern", "n", "example_line").unionByName(zero)
+    return numbered.unionByName(blank.select("line_no", F.lit(0).alias("template_id"))), templates
 
 
 def mine_sequential(contents: list[str], config: MinerConfig = MinerConfig()) -> list[int]:

@@ -123,13 +123,13 @@ def oslog_console_content(line: Column) -> Column:
 
 
 def plain_content(line: Column, family: families.Family | None) -> Column:
-    """The line without its timestamp, masked."""
+    """The line without its timestamp."""
     if family is None:
-        return masking.mask_line(line)
+        return line
     stamp = families.matched(line, family)
     at = F.call_function("locate", stamp, line)
     rest = F.when(F.length(stamp) > 0, F.concat(F.substring(line, F.lit(1), at - 1), F.substring(line, at + F.length(stamp), F.length(line)))).otherwise(line)
-    return masking.mask_line(F.trim(rest))
+    return F.trim(rest)
 
 
 _CONTENT = {"cef": cef_content, "rfc5424": rfc5424_content, "os_log": oslog_content, "logcat_brief": logcat_brief_content, "oslog_console": oslog_console_content}
@@ -164,7 +164,7 @@ def json_content(df: DataFrame, text: str = "text") -> DataFrame:
             yield pdf
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    return df.mapInPandas(run, f"{kept}, content string").withColumn("content", masking.mask_line(F.coalesce("content", text)))
+    return masking.masked(df.mapInPandas(run, f"{kept}, content string").withColumn("content", F.coalesce("content", text)), "content")
 
 
 def normalised(df: DataFrame, fmt: str, family: families.Family | None = None, text: str = "text") -> DataFrame:
@@ -172,7 +172,9 @@ def normalised(df: DataFrame, fmt: str, family: families.Family | None = None, t
     if fmt == "json":
         return json_content(df, text)
     line = F.col(text)
-    return df.withColumn("content", F.when(line.rlike(RECOGNIZERS[fmt]), _CONTENT[fmt](line)).otherwise(masking.mask_line(line)) if fmt in _CONTENT else plain_content(line, family))
+    if fmt in _CONTENT:
+        return df.withColumn("content", F.when(line.rlike(RECOGNIZERS[fmt]), _CONTENT[fmt](line)).otherwise(masking.mask_line(line)))
+    return masking.masked(df.withColumn("content", plain_content(line, family)), "content")
 
 
 @dataclass(frozen=True)

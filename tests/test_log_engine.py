@@ -138,12 +138,13 @@ def test_record_state(spark):
     ("-12.5", "<NUM>"), ("deadbeef01", "<HEX>"), ("worker-12", "worker-<NUM>"), ("plain", "plain"), ("key=word", "key=word"), ('{"a":1}', "<JSON>"), ("123e4567-e89b-12d3-a456-426614174000", "<UUID>"),
 ])
 def test_masks(spark, token, want):
-    assert spark.createDataFrame([(token,)], "t string").select(masking.mask_token(F.col("t"))).first()[0] == want
+    assert spark.createDataFrame([(token,)], "t string").select(masking.mask_token(F.col("t"))).first()[0] == want == masking.mask_word(token)
 
 
 def test_mask_lines_and_slots(spark):
     df = spark.createDataFrame([("connect  10.0.0.1:8080 done",), ("keep   spaces",)], "t string")
     assert [r[0] for r in df.select(masking.mask_line(F.col("t"))).collect()] == ["connect <IP> done", "keep   spaces"]
+    assert [r.t for r in masking.masked(df, "t").collect()] == ["connect <IP> done", "keep   spaces"]
     slots = masking.learn_header_slots([f"INFO [{i}] {1000 + i} msg" for i in range(20)])
     assert slots[0] is None and slots[2] == "NUM"
 
