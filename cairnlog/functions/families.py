@@ -59,6 +59,12 @@ FAMILIES = [
 BY_NAME = {f.name: f for f in FAMILIES}
 
 
+def register(family: Family, first: bool = False) -> None:
+    """Adds a family to those that detection tries."""
+    FAMILIES.insert(0 if first else len(FAMILIES), family)
+    BY_NAME[family.name] = family
+
+
 def custom_family(name: str, pattern: str) -> Family:
     """A user's expression with groups named year, month, day, hour, min, sec and optionally ms, ampm."""
     names = {"year": "y", "month": "m", "day": "d", "hour": "H", "min": "M", "sec": "S", "ms": "f", "ampm": "p"}

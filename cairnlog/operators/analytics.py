@@ -169,3 +169,13 @@ def samples(lines: DataFrame, part: list[str], k: int = 5, strategy: str = "firs
     n = lines.count()
     wanted = sample_positions(n, k, strategy)
     return positions(lines, part, block).filter(F.col("position").isin(wanted))
+
+
+def merge_counts(base: DataFrame, added: DataFrame, keys: list[str], value: str = "n") -> DataFrame:
+    """Counts per key kept for a log so far, brought up to date with the counts of the lines appended since."""
+    return base.select(*keys, value).unionByName(added.select(*keys, value)).groupBy(*keys).agg(F.sum(value).alias(value))
+
+
+def density_tier(n: Column) -> Column:
+    """small, medium or dense: how a viewer draws a bin of n matches."""
+    return F.when(n >= 100, "dense").when(n >= 10, "medium").otherwise("small")

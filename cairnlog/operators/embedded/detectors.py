@@ -520,3 +520,8 @@ def detect_fields(text: str) -> list[Detection]:
 
 #: In the order of trial; more can be appended.
 REGISTRY: list[Detector] = [detect_json, detect_plist, detect_encoded, detect_http, detect_stacktrace, detect_protobuf, detect_python, detect_foundation, detect_jvm, detect_logfmt, detect_fields]
+
+
+def register(detector: Detector, first: bool = False) -> None:
+    """Adds a detector to those that every analysis tries."""
+    REGISTRY.insert(0 if first else len(REGISTRY), detector)

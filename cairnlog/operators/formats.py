@@ -195,3 +195,9 @@ def diagnose(lines: DataFrame, total: int, named: str | None = None) -> Diagnost
     key = lock_time_key(sample) if fmt == "json" else None
     confidence, names = ("Explicit", [named]) if named else families.detect(sample)
     return Diagnostics(fmt, names[0] if len(names) == 1 else None, confidence, tuple(names) if len(names) > 1 else (), len(sample), key)
+
+
+def register(name: str, recognizer: str, content) -> None:  # noqa: ANN001
+    """Adds a format: the expression its lines match, and a function from line column to content column."""
+    RECOGNIZERS[name] = recognizer
+    _CONTENT[name] = content

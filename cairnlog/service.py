@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import sys
+from collections import OrderedDict
 from dataclasses import dataclass, field
 from typing import Any, TextIO
 
@@ -12,10 +13,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairnlog.functions import families
+from cairnlog.jobs import Job, StageTimes
 from cairnlog.operators import analytics, drain, filters, formats, records, select
 from cairnlog.sources.lines import read_lines
 
-LINE_BYTES, PAGE = 1000, 2000
+LINE_BYTES, PAGE, CACHED = 1000, 2000, 128
 
 
 @dataclass
@@ -30,6 +32,22 @@ class Document:
     filters: filters.FilterSet = field(default_factory=filters.FilterSet)
     pins: list[dict] = field(default_factory=list)
     trimmed: tuple[int, int] | None = None
+    times: StageTimes = field(default_factory=StageTimes)
+    _matches: OrderedDict = field(default_factory=OrderedDict)
+
+    def matching(self, spec: filters.FilterSpec) -> DataFrame:
+        """Lines a matcher hits, kept for repeated calls; the least recently used of CACHED are let go."""
+        key = (spec.text, spec.case_sensitive, spec.regex, spec.template_id)
+        if key not in self._matches:
+            self._matches[key] = self.lines.filter(filters.matches(spec)).select("doc_id", "line_no", "ts_ms", "text", "template_id").persist(StorageLevel.MEMORY_AND_DISK)
+            if len(self._matches) > CACHED:
+                self._matches.popitem(last=False)[1].unpersist()
+        self._matches.move_to_end(key)
+        return self._matches[key]
+
+    def close(self) -> None:
+        for df in (self.lines, self.templates, *self._matches.values()):
+            df.unpersist()
 
     def view(self, filtered: bool) -> DataFrame:
         df = self.lines if self.trimmed is None else self.lines.filter(F.col("line_no").between(*self.trimmed))
@@ -51,10 +69,17 @@ class Session:
         raw = read_lines(self.spark, path)
         return self.load_lines(raw, reference_ms, time_format)
 
+    def load_log_async(self, path: str, **options: Any) -> Job:
+        """load_log in the background, with progress and cancellation."""
+        return Job(self.spark, lambda: self.load_log(path, **options))
+
     def load_lines(self, raw: DataFrame, reference_ms: int | None = None, time_format: str | None = None) -> dict:
         """raw: (doc_id, line_no, text) of one log."""
-        total = raw.count()
-        d = formats.diagnose(raw, total, time_format)
+        times = StageTimes()
+        with times.stage("indexing"):
+            total = raw.count()
+        with times.stage("detecting"):
+            d = formats.diagnose(raw, total, time_format)
         family = families.BY_NAME.get(d.time_format) if d.time_format else None
         line = F.col("text")
         if d.format == "json" and d.time_key:
@@ -73,10 +98,11 @@ class Session:
         df = df.withColumn("header_state", F.when(~F.col("is_header"), None).when(F.col("header_ms").isNotNull(), "explicit").otherwise("invalid" if d.format == "plain" else "missing"))
         df = records.record_state(df, ["doc_id"]).withColumn("ts_ms", F.col("owner_ms"))
         content = formats.normalised(df.select("line_no", "text"), d.format, family).select("line_no", "content")
-        numbered, templates = drain.mine(content)
+        with times.stage("mining"):
+            numbered, templates = drain.mine(content)
         lines = df.join(numbered, "line_no", "left").select("doc_id", "line_no", "text", "ts_ms", "provenance", "record_id", "template_id").persist(StorageLevel.MEMORY_AND_DISK)
         self._next += 1
-        doc = Document(f"log_{self._next}", lines, templates.persist(StorageLevel.MEMORY_AND_DISK), d, total)
+        doc = Document(f"log_{self._next}", lines, templates.persist(StorageLevel.MEMORY_AND_DISK), d, total, times=times)
         self.documents[doc.log_id] = doc
         return self.stats(doc.log_id)
 
@@ -94,9 +120,7 @@ class Session:
         return [{"log_id": d.log_id, "lines": d.total, "format": d.diagnostics.format} for d in self.documents.values()]
 
     def close_log(self, log_id: str) -> dict:
-        d = self.documents.pop(log_id)
-        d.lines.unpersist()
-        d.templates.unpersist()
+        self.documents.pop(log_id).close()
         return {"closed": log_id}
 
     def stats(self, log_id: str | None = None) -> dict:
@@ -120,7 +144,8 @@ class Session:
     def search(self, text: str | None = None, regex: bool = False, case_sensitive: bool = False, template_id: int | None = None, after: str | None = None, before: str | None = None, offset: int = 0, limit: int = 50, with_filtered_log: bool = False, log_id: str | None = None) -> dict:
         d = self._doc(log_id)
         spec = filters.FilterSpec(text or "", case_sensitive, regex=regex, template_id=template_id)
-        hits = d.view(with_filtered_log).filter(filters.matches(spec))
+        whole = d.trimmed is None and not (with_filtered_log and d.filters.specs)
+        hits = d.matching(spec) if whole else d.view(with_filtered_log).filter(filters.matches(spec))
         a, b = (families.parse_time_parameter(x) if x else None for x in (after, before))
         if a is not None or b is not None:
             hits = select.TimeBounds(a, b).select(hits)

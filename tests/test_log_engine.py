@@ -245,6 +245,29 @@ def test_detections_keep_spans_and_numbers():
     assert d.raw == 'x {"a": 1.50, "a": 2} y'[d.start : d.end] and [v for _, v in d.value] == ["1.50", "2"]
 
 
+def test_merged_counts_equal_a_whole_run(spark):
+    df = doc(spark, list("abcde"), ts_ms=[0, 10, 10, 400_000, 400_010], template_id=[1, 1, 2, 2, 2])
+    a, b = (analytics.template_counts(df.filter(c)) for c in ("line_no < 2", "line_no >= 2"))
+    assert sorted(analytics.merge_counts(a, b, ["template_id"]).collect()) == sorted(analytics.template_counts(df).collect())
+    assert [r.t for r in df.select(analytics.density_tier(F.col("ts_ms")).alias("t")).collect()] == ["small", "medium", "medium", "dense", "dense"]
+
+
+def test_registries(spark):
+    from cairnlog.operators.embedded import detectors, model
+
+    detectors.register(lambda t: [model.Detection("mine", 0, 1, model.Pairs(), t[:1])] if t.startswith("§") else [], first=True)
+    assert [d.detector for d in analyze("§ x")] == ["mine"]
+    detectors.REGISTRY.pop(0)
+    f = families.custom_family("bang", r"^(?P<year>\d{4})!(?P<month>\d\d)!(?P<day>\d\d) (?P<hour>\d\d)-(?P<min>\d\d)-(?P<sec>\d\d)")
+    families.register(f)
+    assert families.detect(["2024!01!02 00-00-01"] * 3) == ("High", ["bang"])
+    families.FAMILIES.remove(families.BY_NAME.pop("bang"))
+    formats.register("pipe", r"^\|", lambda c: F.concat(F.lit("PIPE "), F.substring(c, 2, 100)))
+    df = spark.createDataFrame([(0, "|x"), (1, "|y")], "line_no long, text string")
+    assert formats.detect_format(["|x", "|y"]) == "pipe" and formats.normalised(df, "pipe").first().content == "PIPE x"
+    formats.RECOGNIZERS.pop("pipe")
+
+
 def test_stores(tmp_path):
     p = str(tmp_path / "s.json")
     assert stores.load_templates(p) == [(0, ["<EMPTY>"], 0)]
@@ -286,6 +309,9 @@ def test_session(spark, tmp_path):
     serve(s, io.StringIO('{"id": 1, "method": "tools/list"}\n{"id": 2, "method": "tools/call", "params": {"name": "find_occurrences", "arguments": {"text": "ERROR"}}}\n{"id": 3, "method": "x"}\n'), out)
     a = [json.loads(x) for x in out.getvalue().splitlines()]
     assert len(a[0]["result"]["tools"]) == 19 and a[1]["result"]["structuredContent"]["total_matches"] == 1 and "error" in a[2]
+    assert list(s.documents["log_1"].times.seconds) == ["indexing", "detecting", "mining"]
+    job = s.load_log_async(str(tmp_path / "a.log"))
+    assert job.wait(120)["lines"] == 22 and job.progress()["running"] == 0
     assert s.close_log("log_1") == {"closed": "log_1"}
 
 
