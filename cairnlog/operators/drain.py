@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from cairnlog.operators.ordered import number_rows
 from cairnlog.session import broadcast_if_small, stage
 
 WILDCARD, EMPTY = "<*>", "<EMPTY>"
@@ -35,6 +36,7 @@ class Cluster:
     birth: int
     count: int = 0
     stored: int = 0
+    first: int | None = None
 
 
 def similarity(template: list[str], tokens: list[str]) -> tuple[float, float]:
@@ -62,7 +64,9 @@ class Leaf:
         """The position of the line's cluster in this leaf."""
         known = self._seen.get(content) if not overflow else None
         if known is not None:
-            self.clusters[known].count += 1
+            c = self.clusters[known]
+            c.count += 1
+            c.first = line if c.first is None else c.first
             return known
         tokens = content.split()
         least = 0.0 if overflow else self.config.similarity
@@ -74,7 +78,7 @@ class Leaf:
             if score >= least and not (wild > 0.7 and score < 0.8 and not overflow) and score > best_score:
                 best, best_score = i, score
         if best < 0:
-            self.clusters.append(Cluster(tokens, line, 1))
+            self.clusters.append(Cluster(tokens, line, 1, first=line))
             best = len(self.clusters) - 1
             self._seen.clear()
         else:
@@ -84,11 +88,31 @@ class Leaf:
                 c.tokens = merged
                 self._seen.clear()
             c.count += 1
+            c.first = line if c.first is None else c.first
         if not overflow and len(self._seen) < 65536:
             self._seen[content] = best
         return best
 
 
+#: Distinct routing keys up to which the routes are worked out on the driver; beyond it they are on the cluster.
+FEW_ROUTES = 50_000
+
+
+def routes_of(keys: list[tuple], config: MinerConfig) -> list[tuple]:
+    """(key..., leaf, overflow) of (first line, key...): in order of first appearance, as one pass would build the tree."""
+    tree: dict = {}
+    out = []
+    for _, *path in sorted(keys):
+        node, leaf, overflow = tree, "", False
+        for level, key in enumerate(path):
+            own = key != "*" and (key in node or sum(k != "*" for k in node) < config.children)
+            overflow |= bool(level) and key != "*" and not own
+            leaf += "\x1f" + ("=" + key if own else "*")
+            node = node.setdefault(key if own else "*", {})
+        out.append((*path, leaf, overflow))
+    return out
+
+
 def level_keys(config: MinerConfig) -> list:
     """Routing keys of a line: its number of tokens, then its first tokens."""
     tokens = F.split(F.regexp_replace(F.col("content"), r"\s+", " "), " ")
@@ -106,7 +130,12 @@ def route(lines: DataFrame, config: MinerConfig = MinerConfig()) -> DataFrame:
     df = lines.withColumn("content", F.trim(cut)).filter(F.length("content") > 0)
     names = [f"_k{i}" for i in range(len(level_keys(config)))]
     df = df.select("*", *[k.alias(n) for k, n in zip(level_keys(config), names)])
-    routes = df.groupBy(*names).agg(F.min("line_no").alias("_first")).withColumn("leaf", F.lit("")).withColumn("overflow", F.lit(False))
+    keys = stage(df.groupBy(*names).agg(F.min("line_no").alias("_first")), "route-keys")
+    few = keys.limit(FEW_ROUTES + 1).collect()
+    if len(few) <= FEW_ROUTES:
+        made = routes_of([(r["_first"], *[r[n] for n in names]) for r in few], config)
+        return df.join(F.broadcast(lines.sparkSession.createDataFrame(made, ", ".join(f"{n} string" for n in names) + ", leaf string, overflow boolean")), names).drop(*names)
+    routes = keys.withColumn("leaf", F.lit("")).withColumn("overflow", F.lit(False))
     for level, key in enumerate(names):
         first = routes.groupBy("leaf", key).agg(F.min("_first").alias("_f")).filter(F.col(key) != "*")
         rank = F.row_number().over(W.partitionBy("leaf").orderBy("_f", key))
@@ -120,7 +149,7 @@ def route(lines: DataFrame, config: MinerConfig = MinerConfig()) -> DataFrame:
     return df.join(broadcast_if_small(routes), names).drop(*names)
 
 
-_MINED = "leaf string, cluster int, line_no long, pattern string, birth long, n long"
+_MINED = "leaf string, cluster int, line_no long, pattern string, birth long, n long, example_line long"
 
 
 def _mine(config: MinerConfig, seeds: dict[str, list[tuple[int, list[str], int]]]):
@@ -130,7 +159,7 @@ def _mine(config: MinerConfig, seeds: dict[str, list[tuple[int, list[str], int]]
         leaf, name = Leaf(config), None
 
         def templates() -> list[tuple]:
-            return [(name, k, None, " ".join(c.tokens), c.birth, c.count - c.stored) for k, c in enumerate(leaf.clusters) if c.count > c.stored]
+            return [(name, k, None, " ".join(c.tokens), c.birth, c.count - c.stored, c.first) for k, c in enumerate(leaf.clusters) if c.count > c.stored]
 
         for pdf in batches:
             out = []
@@ -139,7 +168,7 @@ def _mine(config: MinerConfig, seeds: dict[str, list[tuple[int, list[str], int]]
                     out += templates()
                     leaf, name = Leaf(config), n
                     leaf.clusters = [Cluster(list(t), -1 - i, c, c) for i, t, c in seeds.get(n, [])]
-                out.append((n, leaf.add(content, line, overflow), line, None, None, None))
+                out.append((n, leaf.add(content, line, overflow), line, None, None, None, None))
             yield _frame(out)
         if leaf.clusters:
             yield _frame(templates())
@@ -149,7 +178,7 @@ def _mine(config: MinerConfig, seeds: dict[str, list[tuple[int, list[str], int]]
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
     columns = [f.split()[0] for f in _MINED.split(", ")]
-    return pd.DataFrame(rows, columns=columns).astype({"cluster": "Int32", "line_no": "Int64", "birth": "Int64", "n": "Int64"})
+    return pd.DataFrame(rows, columns=columns).astype({"cluster": "Int32", "line_no": "Int64", "birth": "Int64", "n": "Int64", "example_line": "Int64"})
 
 
 def mine(lines: DataFrame, config: MinerConfig = MinerConfig(), stored: list[tuple[int, list[str], int]] | None = None) -> tuple[DataFrame, DataFrame]:
@@ -170,16 +199,16 @@ def mine(lines: DataFrame, config: MinerConfig = MinerConfig(), stored: list[tup
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = route(lines, config).repartition(parts, "leaf").sortWithinPartitions("leaf", "line_no")
     mined = stage(ordered.select("leaf", "line_no", "content", "overflow").mapInPandas(_mine(config, seeds), _MINED), "mined")
-    per = mined.filter("pattern is not null").select("leaf", "cluster", "pattern", "birth", "n")
+    per = mined.filter("pattern is not null").select("leaf", "cluster", "pattern", "birth", "n", "example_line")
     after = max([i for i, _, _ in stored or []], default=0)
-    ids = per.filter("birth >= 0").select("birth", (F.row_number().over(W.orderBy("birth")) + after).cast("int").alias("template_id"))  # one row per template
+    born = number_rows(per.filter("birth >= 0").select(F.lit(0).alias("log"), "birth"), "birth", ["log"])
+    ids = born.select("birth", (F.col("position") + 1 + after).cast("int").alias("template_id"))
     known = per.join(ids, "birth", "left").withColumn("template_id", F.coalesce("template_id", (-1 - F.col("birth")).cast("int")))
     known = stage(known, "templates")
     numbered = mined.filter("pattern is null").select("leaf", "cluster", "line_no").join(broadcast_if_small(known.select("leaf", "cluster", "template_id")), ["leaf", "cluster"]).select("line_no", "template_id")
-    examples = numbered.groupBy("template_id").agg(F.min("line_no").alias("example_line"))
     blank = lines.filter(F.length(F.trim(F.coalesce("content", F.lit("")))) == 0)
     zero = blank.agg(F.count("*").alias("n"), F.min("line_no").alias("example_line")).filter("n > 0").select(F.lit(0).alias("template_id"), F.lit(EMPTY).alias("pattern"), "n", "example_line")
-    templates = known.join(examples, "template_id").select("template_id", "pattern", "n", "example_line").unionByName(zero)
+    templates = known.select("template_id", "pattern", "n", "example_line").unionByName(zero)
     return numbered.unionByName(blank.select("line_no", F.lit(0).alias("template_id"))), templates
 
 

@@ -12,9 +12,9 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnlog.functions import families
+from cairnlog.functions import families, masking
 from cairnlog.jobs import Job, StageTimes
-from cairnlog.operators import analytics, drain, filters, formats, records, select
+from cairnlog.operators import analytics, drain, fieldquery, filters, formats, profiles, records, select
 from cairnlog.sources.lines import read_lines
 
 LINE_BYTES, PAGE, CACHED = 1000, 2000, 128
@@ -33,6 +33,7 @@ class Document:
     pins: list[dict] = field(default_factory=list)
     trimmed: tuple[int, int] | None = None
     times: StageTimes = field(default_factory=StageTimes)
+    schema: dict[str, str] = field(default_factory=dict)
     _matches: OrderedDict = field(default_factory=OrderedDict)
 
     def matching(self, spec: filters.FilterSpec) -> DataFrame:
@@ -45,6 +46,14 @@ class Document:
         self._matches.move_to_end(key)
         return self._matches[key]
 
+    def holding(self, expression: str, case_sensitive: bool = True) -> DataFrame:
+        """All lines of the records whose declared field meets a query; lines before the first record never do."""
+        q = fieldquery.FieldQuery.parse(expression, case_sensitive).bind(self.schema)
+        kind = self.schema[q.field]
+        value = F.col("header_ms") if kind == "timestamp" else F.col("fields")[q.field]
+        hit = self.lines.filter(F.col("fields").isNotNull() & F.coalesce(q.condition(value), F.lit(False))).select("doc_id", "record_id")
+        return self.view(False).join(hit, ["doc_id", "record_id"], "left_semi")
+
     def close(self) -> None:
         for df in (self.lines, self.templates, *self._matches.values()):
             df.unpersist()
@@ -65,15 +74,15 @@ class Session:
     def __init__(self, spark: SparkSession) -> None:
         self.spark, self.documents, self._next = spark, {}, 0
 
-    def load_log(self, path: str, reference_ms: int | None = None, time_format: str | None = None) -> dict:
-        raw = read_lines(self.spark, path)
-        return self.load_lines(raw, reference_ms, time_format)
+    def load_log(self, path: str, reference_ms: int | None = None, time_format: str | None = None, profile: str | None = None) -> dict:
+        """Reads, indexes and mines a file; profile is a declared header layout."""
+        return self.load_lines(read_lines(self.spark, path), reference_ms, time_format, profile)
 
     def load_log_async(self, path: str, **options: Any) -> Job:
         """load_log in the background, with progress and cancellation."""
         return Job(self.spark, lambda: self.load_log(path, **options))
 
-    def load_lines(self, raw: DataFrame, reference_ms: int | None = None, time_format: str | None = None) -> dict:
+    def load_lines(self, raw: DataFrame, reference_ms: int | None = None, time_format: str | None = None, profile: str | None = None) -> dict:
         """raw: (doc_id, line_no, text) of one log."""
         times = StageTimes()
         with times.stage("indexing"):
@@ -81,6 +90,8 @@ class Session:
         with times.stage("detecting"):
             d = formats.diagnose(raw, total, time_format)
         family = families.BY_NAME.get(d.time_format) if d.time_format else None
+        if profile:
+            return self._load_declared(raw, total, d, profile, reference_ms, time_format, times)
         line = F.col("text")
         if d.format == "json" and d.time_key:
             ms, header = formats.json_time(line, d.time_key), line.rlike(r"^\s*\{.*\}\s*$")
@@ -100,9 +111,31 @@ class Session:
         content = formats.normalised(df.select("line_no", "text"), d.format, family).select("line_no", "content")
         with times.stage("mining"):
             numbered, templates = drain.mine(content)
-        lines = df.join(numbered, "line_no", "left").select("doc_id", "line_no", "text", "ts_ms", "provenance", "record_id", "template_id").persist(StorageLevel.MEMORY_AND_DISK)
+        return self._keep(df, numbered, templates, d, total, times, {})
+
+    def _load_declared(self, raw: DataFrame, total: int, d: formats.Diagnostics, layout: str, reference_ms: int | None, named: str | None, times: StageTimes) -> dict:
+        p = profiles.compile_layout(layout)
+        confidence, names = profiles.resolve_time(p, formats.sample_lines(raw, total), named)
+        if len(names) != 1:
+            raise ValueError(f"the time of the layout is {confidence.lower()}: {', '.join(names) or 'no family fits'}")
+        family = families.BY_NAME[names[0]]
+        m = profiles.match_lines(raw, layout, profiles.Recognizer([family]), ["doc_id", "line_no", "text"])
+        values = F.transform_values("fields", lambda _, v: v["value"])
+        df = m.select("doc_id", "line_no", "text", F.col("matched").alias("is_header"), F.col("time_state").alias("header_state"), F.when(F.col("matched"), values).alias("fields"))
+        df = df.withColumn("header_ms", F.when(F.col("header_state") == "explicit", families.time_of(F.col("fields")["time"], family, reference_ms)))
+        df = records.record_state(df, ["doc_id"]).withColumn("ts_ms", F.col("owner_ms"))
+        content = masking.masked(df.select("line_no", F.coalesce(F.col("fields")["log"], F.col("text")).alias("content")), "content")
+        with times.stage("mining"):
+            numbered, templates = drain.mine(content)
+        d = formats.Diagnostics("profile", family.name, confidence, (), d.sampled_lines, None)
+        return self._keep(df, numbered, templates, d, total, times, p.schema)
+
+    def _keep(self, df: DataFrame, numbered: DataFrame, templates: DataFrame, d: formats.Diagnostics, total: int, times: StageTimes, schema: dict[str, str]) -> dict:
+        if "fields" not in df.columns:
+            df = df.withColumn("fields", F.lit(None).cast("map<string,string>"))
+        lines = df.join(numbered, "line_no", "left").select("doc_id", "line_no", "text", "ts_ms", "header_ms", "provenance", "record_id", "fields", "template_id").persist(StorageLevel.MEMORY_AND_DISK)
         self._next += 1
-        doc = Document(f"log_{self._next}", lines, templates.persist(StorageLevel.MEMORY_AND_DISK), d, total, times=times)
+        doc = Document(f"log_{self._next}", lines, templates.persist(StorageLevel.MEMORY_AND_DISK), d, total, times=times, schema=schema)
         self.documents[doc.log_id] = doc
         return self.stats(doc.log_id)
 
@@ -141,11 +174,23 @@ class Session:
         self._doc(log_id).filters.remove(position)
         return self.filters_get(log_id)
 
-    def search(self, text: str | None = None, regex: bool = False, case_sensitive: bool = False, template_id: int | None = None, after: str | None = None, before: str | None = None, offset: int = 0, limit: int = 50, with_filtered_log: bool = False, log_id: str | None = None) -> dict:
+    def field_values(self, name: str, prefix: str = "", rows: int = 50, log_id: str | None = None) -> dict:
+        """The commonest values of a declared field that begin with a prefix."""
+        d = self._doc(log_id)
+        if name not in d.schema:
+            raise ValueError(f"unknown field: {name}")
+        held = d.view(False).filter("fields is not null").select(F.col("fields")[name].alias(name))
+        return {"field": name, "type": d.schema[name], "values": _rows(fieldquery.suggest_values(held, name, prefix, rows))}
+
+    def search(self, text: str | None = None, regex: bool = False, case_sensitive: bool = False, template_id: int | None = None, after: str | None = None, before: str | None = None, offset: int = 0, limit: int = 50, with_filtered_log: bool = False, field_query: str | None = None, log_id: str | None = None) -> dict:
+        """A page of lines that hold a text, expression, template or field value, with their times."""
         d = self._doc(log_id)
         spec = filters.FilterSpec(text or "", case_sensitive, regex=regex, template_id=template_id)
         whole = d.trimmed is None and not (with_filtered_log and d.filters.specs)
-        hits = d.matching(spec) if whole else d.view(with_filtered_log).filter(filters.matches(spec))
+        if field_query:
+            hits = d.holding(field_query, case_sensitive)
+        else:
+            hits = d.matching(spec) if whole else d.view(with_filtered_log).filter(filters.matches(spec))
         a, b = (families.parse_time_parameter(x) if x else None for x in (after, before))
         if a is not None or b is not None:
             hits = select.TimeBounds(a, b).select(hits)

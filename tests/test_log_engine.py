@@ -149,7 +149,9 @@ def test_mask_lines_and_slots(spark):
     assert slots[0] is None and slots[2] == "NUM"
 
 
-def test_miner_leaf_by_leaf_equals_one_pass(spark):
+@pytest.mark.parametrize("few", [50_000, 0])
+def test_miner_leaf_by_leaf_equals_one_pass(spark, monkeypatch, few):
+    monkeypatch.setattr(drain, "FEW_ROUTES", few)
     rnd = random.Random(6)
     words = ["a", "b", "c", "*", "<NUM>", "x", "y"]
     for children in (1, 2, 100):
@@ -315,6 +317,18 @@ def test_session(spark, tmp_path):
     assert s.close_log("log_1") == {"closed": "log_1"}
 
 
+def test_session_with_a_declared_layout(spark, tmp_path):
+    (tmp_path / "a.log").write_text("start\n" + "".join(f"2024-01-01 00:00:0{i} [{'net' if i % 2 else 'disk'}:{i}] did {i} things\n  more\n" for i in range(6)))
+    s = Session(spark)
+    info = s.load_log(str(tmp_path / "a.log"), profile="{time} [{module}:{n:number}] {log}")
+    assert info["confidence"] == "High" and info["templates"] == 3
+    assert [m[0] for m in s.search(field_query="n >= 4")["matches"]] == [10, 11, 12, 13] and s.search(field_query="module = NET")["total_matches"] == 6
+    assert s.search(field_query="module = net", case_sensitive=True)["total_matches"] == 6 and s.search(field_query="time > 2024-01-01 00:00:04")["total_matches"] == 2
+    assert s.field_values("module", "N")["values"] == [{"value": "net", "n": 3}]
+    with pytest.raises(ValueError):
+        s.search(field_query="nope = 1")
+
+
 def test_extract_template_twice(spark, tmp_path):
     for name, text in (("a", "2024-01-01 00:00:00 user 1 in\n2024-01-01 00:00:01 user 2 in\n2024-01-01 00:00:02 stop now\n"), ("b", "2024-01-01 00:00:00 user 9 in\n2024-01-01 00:00:01 fresh one here ok\n")):
         (tmp_path / f"{name}.log").write_text(text)
