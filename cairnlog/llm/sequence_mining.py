@@ -1,9 +1,9 @@
 """Frequent subsequences with gaps across many entities, by finite-state transducer mining.
 
 The constraints (three to five distinct items, each at most max_gap positions after the one before) are compiled
-into a transducer whose transitions are pruned by the step pairs that are frequent themselves: every step of a
-frequent pattern is. Run over a sequence it gives the candidate patterns; they are grouped by their pivot, the
-rarest item, and each group is stored as one minimised acyclic automaton. The automata are shuffled by pivot,
+into a transducer whose transitions are pruned by the steps that occur in enough sequences: every step of a frequent
+pattern does. Run over a sequence it gives the candidate patterns; they are grouped by their pivot, the
+item with the fewest steps, and each group is stored as one minimised acyclic automaton. The automata are shuffled by pivot,
 split further by a hash of the entity, and mined in entity order: the automata of one entity are united, equal
 ones are weighted, and the supports of their words added up. A part holds whole entities, so its supports add.
 
@@ -53,23 +53,29 @@ def _arrays(b: pa.RecordBatch, blank: int) -> tuple[list, np.ndarray, np.ndarray
 
 
 def _pairs(gap: int, blank: int):
+    """Per batch: in how many sequences each step occurs, and the sum of it for a batch is one row per step."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            entity, v, ok, seq = _arrays(b, blank)
+            _, v, ok, seq = _arrays(b, blank)
             i, j = step_codes(v, ok, seq, gap)
-            names = {e: k for k, e in enumerate(dict.fromkeys(entity))}
-            code = np.array([names[e] for e in entity], dtype=np.int64)
-            rows = np.unique(np.stack([code[seq[i]], v[i], v[j]], 1), axis=0) if len(i) else np.zeros((0, 3), dtype=np.int64)
-            back = list(names)
-            yield pa.RecordBatch.from_arrays([pa.array([back[i] for i in rows[:, 0].tolist()], pa.string()), pa.array(rows[:, 1]), pa.array(rows[:, 2])], names=["entity", "a", "b"])
+            items, code = np.unique(v, return_inverse=True)
+            k = len(items)
+            step = np.unique(seq[i] * (k * k) + code[i] * k + code[j]) % (k * k) if len(i) else np.zeros(0, dtype=np.int64)
+            step, n = np.unique(step, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(items[step // max(k, 1)]), pa.array(items[step % max(k, 1)]), pa.array(n.astype(np.int64))], names=["a", "b", "n"])
 
     return run
 
 
 def frequent_steps(src: DataFrame, least: int, gap: int, blank: int) -> DataFrame:
-    """(a, b) that follow each other within the gap in at least `least` entities."""
-    seen = src.mapInArrow(_pairs(gap, blank), "entity string, a long, b long").distinct()
-    return seen.groupBy("a", "b").agg(F.count("*").alias("n")).filter(F.col("n") >= least).select("a", "b")
+    """(a, b, n): steps that occur in n >= least sequences.
+
+    A step has no more entities than sequences, so no step of a frequent pattern is left out; counting sequences
+    needs no entity in the shuffle, and batches send one row per step.
+    """
+    seen = src.mapInArrow(_pairs(gap, blank), "a long, b long, n long")
+    return seen.groupBy("a", "b").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
 
 
 def minimised(words: set[tuple[int, ...]]) -> str:
@@ -186,14 +192,16 @@ def frequent_subsequences(sequences: DataFrame, entity: str = "source_file", ite
     entities = src.select("entity").distinct().count()
     least = max(at_least, -(-int(round(share * 1_000_000)) * entities // 1_000_000))
     steps = stage(frequent_steps(src, least, gap, blank), "steps")
-    pairs = [(r.a, r.b) for r in steps.limit(MAX_PAIRS + 1).collect()]
-    if not pairs:
+    found = [(r.a, r.b, r.n) for r in steps.limit(MAX_PAIRS + 1).collect()]
+    if not found:
         return spark.createDataFrame([], "pattern string, support long")
-    pruned = len(pairs) <= MAX_PAIRS
-    used = sorted({x for p in pairs for x in p}) if pruned else []
-    codes = np.array(sorted(pairs), dtype=np.int64).view([("a", np.int64), ("b", np.int64)]).ravel() if pruned else None
-    often = {r.item: r.n for r in src.select("entity", F.explode(F.array_distinct("items")).alias("item")).filter(F.col("item").isin(used)).distinct().groupBy("item").agg(F.count("*").alias("n")).collect()} if len(used) <= 10_000 else {}
-    rank = {x: -n for x, n in often.items()}  # the pivot is the rarest item of a word
+    pruned = len(found) <= MAX_PAIRS
+    codes = np.array(sorted(f[:2] for f in found), dtype=np.int64).view([("a", np.int64), ("b", np.int64)]).ravel() if pruned else None
+    often: Counter[int] = Counter()
+    for x, y, n in found if pruned else ():
+        often[x] += n
+        often[y] += n
+    rank = {x: -n for x, n in often.items()}  # the pivot of a word is the item with the fewest steps
     automata = src.mapInArrow(_automata(codes, rank, gap, blank, shortest, longest), "pivot long, entity string, automaton string").distinct()
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     salt = F.pmod(F.xxhash64("entity"), F.lit(parts))
