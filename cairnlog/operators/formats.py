@@ -92,7 +92,7 @@ def cef_content(line: Column) -> Column:
     return F.concat_ws(" ", F.lit("CEF"), *[F.get(parts, F.lit(i)) for i in (1, 2, 4, 5, 6)], masking.mask_line(F.coalesce(F.get(parts, F.lit(7)), F.lit(""))))
 
 
-_5424 = r"^<\d{1,3}>\d+ (\S+) (\S+) (\S+) (\S+) (\S+) ?((?:\[(?:[^\]\\]|\\.)*\])+|-)? ?(.*)$"
+_5424 = r"^<\d{1,3}>\d+ (\S+) (\S+) (\S+) (\S+) (\S+) ?((?:\[(?:[^\]\\]|\\.)*+\])++|-)? ?(.*)$"
 
 
 def rfc5424_content(line: Column) -> Column:

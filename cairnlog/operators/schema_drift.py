@@ -125,6 +125,8 @@ def name_similarity(a: str, b: str) -> float:
     x, y = name_tokens(a), name_tokens(b)
     if x == y:
         return 1.0
+    if max(len(a), len(b)) > 256:
+        return 0.0
     shared = len(set(x) & set(y))
     words = shared / max(1, min(len(set(x)), len(set(y)))) * 0.9 if shared else 0.0
     return max(words, SequenceMatcher(None, "".join(x), "".join(y)).ratio() * 0.6)

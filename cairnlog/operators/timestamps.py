@@ -31,8 +31,9 @@ MAX_SPAN_DAYS = 90
 
 def trimmed(stamp: Column) -> Column:
     """Without surrounding blanks, quotes and brackets, without a bracketed region, odd blanks made plain."""
-    s = F.translate(stamp, "  ", "  ")
-    s = F.regexp_replace(s, r"""^[\s"'\[(<]+|[\s"')>]+$""", "")
+    s = F.translate(stamp, "\u202f\u00a0", "  ")
+    s = F.rtrim(F.ltrim(s, F.lit(" \t\r\n\"'[(<")), F.lit(" \t\r\n\"')>"))
+    s = F.when(F.length(s) <= 4 * MAX_LEN, s)  # expressions see short texts only
     s = F.regexp_replace(s, r"\[[A-Za-z_+\-/0-9]*\]?\]?$", "")
     return F.regexp_replace(s, r"[\]\s]+$", "")
 
