@@ -141,6 +141,10 @@ def run_lengths(lines: DataFrame, part: list[str], block: int = BLOCK) -> DataFr
     return numbered.groupBy(*part, "run").agg(F.min("line_no").alias("start_line"), F.max("line_no").alias("end_line"), F.count("*").alias("n"), F.first("template_id").alias("template_id"), F.min_by("ts_ms", "line_no").alias("time_start"), F.max_by("ts_ms", "line_no").alias("time_end")).drop("run")
 
 
+# Seed, factor and step of the sampler's 64-bit congruential generator.
+_SEED, _FACTOR, _STEP = 0x9E3779B97F4A7C15, 6364136223846793005, 1442695040888963407
+
+
 def sample_positions(n: int, k: int, strategy: str = "first_last_random") -> list[int]:
     """Which of n places to show: the first k, evenly spread, or both ends and seeded random ones between."""
     k = max(1, min(k, 10))
@@ -151,11 +155,11 @@ def sample_positions(n: int, k: int, strategy: str = "first_last_random") -> lis
     even = [i * (n - 1) // (k - 1) for i in range(k)] if k > 1 else [0]
     if strategy == "even":
         return even
-    picked, seed, mask = {0, n - 1} if k > 1 else {0}, 0x9E3779B97F4A7C15 ^ n, (1 << 64) - 1
+    picked, seed, mask = {0, n - 1} if k > 1 else {0}, _SEED ^ n, (1 << 64) - 1
     for _ in range(100):
         if len(picked) >= k:
             break
-        seed = (seed * 6364136223846793005 + 1442695040888963407) & mask
+        seed = (seed * _FACTOR + _STEP) & mask
         picked.add((seed >> 33) % n)
     for i in even:
         if len(picked) >= k:
