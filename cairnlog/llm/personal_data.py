@@ -48,7 +48,10 @@ _DISGUISED = [
     re.compile(rf"{_LOCAL}{_BRACKET_DOT}){_MOST}(?P<at>[ \t]+@[ \t]+){_HOST}(?: ?\. ?{_HOST}){_LABELS}{_END}"),
 ]
 _DOTS = re.compile(rf"{_BRACKET_DOT}|[ \t]+(?:dot|DOT)[ \t]+| ?\. ?")
-_HINT = re.compile(r"(?i)[\[({<]\s*(?:at|dot|punkt|punto|point)\s*[\])}>]|\sdot\s|\s@|@\s")
+_HINT = re.compile(r"(?i)[\[({<]\s*(?:at|arobase|arroba|dot|punkt|punto|point)\s*[\])}>]|\sdot\s|\s@|@\s")
+#: What a text holds if it has a disguise without a bare "dot": an at or a dot in brackets, or an @ between blanks.
+_BRACKETED = re.compile(r"[\[({<][ \t]*(?i:at|arobase|arroba|dot|punkt|punto|point)[ \t]*[\])}>]")
+_APART = re.compile(r"@(?<=[ \t]@)[ \t]")
 
 
 class Free:
@@ -138,7 +141,7 @@ def _cases(words: Iterable[str]) -> frozenset[str]:
     return frozenset(x for w in words for x in (w, w.capitalize(), w.upper()))
 
 
-_DIGIT_CASES, _DOT_CASES = _cases(_DIGIT_WORDS), _cases(["dot", "punkt", "punto", "point"])
+_DIGIT_CASES, _DOT_CASES = _cases(_DIGIT_WORDS), frozenset(["dot", "DOT"])
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -149,7 +152,7 @@ def rewrite(text: str, words: set[str] | None = None) -> Rewritten:
     words = words if words is not None and r.begin is None else set(_LETTERS.findall(r.text))
     if words & _DIGIT_CASES:
         r.replace(_digits(r.text))
-    if words & _DOT_CASES or " @ " in r.text:
+    if words & _DOT_CASES or _BRACKETED.search(r.text) or _APART.search(r.text):
         r.replace(_disguises(r.text))
     return r
 

@@ -78,3 +78,9 @@ def test_long_texts_take_no_long_time(text):
 
 def test_remote_logins_only_behind_the_command():
     assert found("a@b.test then ssh c@d.test\ne@f.test") == [("EMAIL", "a@b.test"), ("EMAIL", "e@f.test")]
+
+
+@pytest.mark.parametrize("address", ["jane.doe [at] example.org", "jane(at)example.org", "jane {AT} mail.example.org", "jane [arobase] example.org", "jane <arroba> example.org", "jane(aT)example(dOt)org", "jane\t@\texample.org"])
+def test_disguised_at_needs_no_other_word(address):
+    assert found(f"mail {address}, or call") == [("EMAIL", address)]
+    assert pd_.redacted(f"mail {address}!", pd_.detect(f"mail {address}!", G)) == "mail <EMAIL_1>!"
