@@ -19,7 +19,7 @@ from pyspark.sql.window import Window as W
 
 from cairnlog.session import broadcast_if_small, small, stage
 
-#: Characters in which a header ends; of a longer line in which fields may stand anywhere, both ends are read.
+#: Characters in which a header ends; layouts in which fields may stand anywhere (json, logfmt) are read whole.
 HEAD = 4096
 #: Lines of a log that one window partition holds at most.
 BLOCK = 65536
@@ -54,7 +54,7 @@ LAYOUTS: list[tuple[str, str, int, int, int, int]] = [
     ("syslog_pri", rf"^<(\d{{1,3}})>({_SYSTIME}) \S+ ([^\s\[:]+)(?:\[\d+\])?: ?(.*)$", 2, -1, 3, 4),
     ("syslog", rf"^({_SYSTIME}) \S+ ([^\s\[:]+)(?:\[\d+\])?: ?(.*)$", 1, 0, 2, 3),
     ("json", r"^\{.*\}\s*$", 0, 0, 0, 0),
-    ("logfmt", r"^(?=.*(?:^| )(?:time|ts|t|timestamp)=)(?=.*(?:^| )(?:msg|message|text|event)=)[A-Za-z_@]+=.*$", 0, 0, 0, 0),
+    ("logfmt", r"^(?=[A-Za-z_@]+=)(?=.*(?:^| )(?:time|ts|t|timestamp)=)(?=.*(?:^| )(?:msg|message|text|event)=).*$", 0, 0, 0, 0),
     ("plain", rf"^({TIME}) {{1,2}}(.*)$", 1, 0, 0, 2),
 ]
 
@@ -75,11 +75,6 @@ def clean(line: Column) -> Column:
     return F.when(text.startswith("\ufeff"), F.substring(text, 2, 2**31 - 1)).otherwise(text)
 
 
-def _ends(line: Column) -> Column:
-    """A line without its middle if it is long: what lies there is message."""
-    return F.when(F.length(line) > 2 * HEAD, F.concat(F.substring(line, 1, HEAD), F.substring(line, -HEAD, HEAD))).otherwise(line)
-
-
 def level_of(raw: Column) -> Column:
     words = F.create_map(*[F.lit(x) for level, ws in _LEVELS.items() for w in ws.split() for x in (w, level)])
     return F.coalesce(words[F.lower(F.trim(raw))], F.lit(""))
@@ -95,18 +90,17 @@ def _json(line: Column) -> Column:
 
 
 def _pair(line: Column, keys: tuple[str, ...]) -> Column:
-    """The value of the first of these keys that stands outside the message's quotes."""
-    bare = F.regexp_replace(_ends(line), rf'((?:^| )(?:{"|".join(_MESSAGE_KEYS)})=)"(?:[^"\\]|\\.)*+"', '$1""')
-    found = F.regexp_extract(bare, rf'(?:^| )(?:{"|".join(keys)})=("(?:[^"\\]|\\.)*+"|\S*)', 1)
-    return F.regexp_replace(found, '^"|"$', "")
+    """The value, quotes and all, of the first of these keys that stands outside other values' quotes; one pass, no way back."""
+    quoted, key = r'"(?:[^"\\]|\\.)*+"', f"(?:{'|'.join(keys)})="
+    return F.regexp_extract(line, rf'^(?:(?!{key})(?:[^ "=]++={quoted})?+[^ ]*+ )*+{key}({quoted}|\S*)', 1)
 
 
 def layout_of(line: Column) -> Column:
     """The name of the first layout in the cascade that the line is written in, or null."""
     c: Column | None = None
-    head, ends = F.substring(line, 1, HEAD), _ends(line)
+    head = F.substring(line, 1, HEAD)
     for name, pattern, *_ in LAYOUTS:
-        cond = (ends if name == "logfmt" else head).rlike(pattern)
+        cond = (line if name == "logfmt" else head).rlike(pattern)
         if name == "json":
             j = _json(line)
             cond = line.startswith("{") & F.rtrim(line).endswith("}") & F.coalesce(*[j[k] for k in (*_LEVEL_KEYS, *_COMPONENT_KEYS)]).isNotNull() & F.coalesce(*[j[k] for k in _MESSAGE_KEYS]).isNotNull()
@@ -118,10 +112,8 @@ def _part(line: Column, layout: Column, which: int) -> Column:
     """Field `which` (0 time, 1 level, 2 component, 3 message) by the layout's own expression."""
     keys = (_TIME_KEYS, _LEVEL_KEYS, _COMPONENT_KEYS, _MESSAGE_KEYS)[which]
     c = F.when(layout == "json", F.coalesce(*[_json(line)[k] for k in keys]))
-    if which == 3:
-        c = c.when(layout == "logfmt", F.regexp_extract(line, rf'(?:^| )(?:{"|".join(keys)})=("(?:[^"\\]|\\.)*+"|\S*)', 1))
-    else:
-        c = c.when(layout == "logfmt", _pair(line, keys))
+    pair = _pair(line, keys)
+    c = c.when(layout == "logfmt", pair if which == 3 else F.regexp_replace(pair, '^"|"$', ""))
     for name, pattern, *groups in LAYOUTS:
         g = groups[which]
         if g > 0:

@@ -1,3 +1,5 @@
+import time
+
 import pytest
 
 from cairnlog.operators import log_entries as le
@@ -58,3 +60,21 @@ def test_messages(spark):
 def test_very_long_lines(spark, line, layout):
     df = spark.createDataFrame([("c", 1, line)], "case_id string, line_no long, line string")
     assert [r.layout for r in le.entries(df).collect()] == ([layout] if layout else [])
+
+
+@pytest.mark.parametrize("line", [
+    'time=2024-02-02T00:44:46Z err="' + "e " * 5000 + '" level=error logger=db msg="short" stack="' + "s " * 5000 + '"', 'msg="short" time=2024-02-02T00:44:46Z err="' + "e " * 5000 + '" level=error logger=db stack="' + "s " * 5000 + '"',
+    'time=2024-02-02T00:44:46Z err="' + "e\\\" " * 5000 + ' level=debug logger=x msg=no" level=error logger=db msg="short" stack="' + "s " * 5000 + '"', 'time=2024-02-02T00:44:46Z err="no level=debug logger=x msg=no" level="error" logger=db msg="short"',
+])
+def test_logfmt_is_read_whole(spark, line):
+    df = spark.createDataFrame([("c", 1, "time=1 level=info logger=a msg=x"), ("c", 2, line), ("c", 3, "more")], "case_id string, line_no long, line string")
+    got = {(r.first_line, r.last_line, r.time, r.level, r.component, r.message) for r in le.with_messages(df, le.entries(df)).collect()}
+    assert got == {(1, 1, "1", "INFO", "a", "x"), (2, 3, "2024-02-02T00:44:46Z", "ERROR", "db", '"short"\nmore')}
+
+
+@pytest.mark.parametrize("line", ['a="\\" ' * 150_000, "a=" + '"' * 500_000, "time=1 msg=" + "\U0001F64Fx " * 200_000 + " level=info logger=a", 'time=1 msg="' + '\\" msg="' * 60_000 + ' level=info'])
+def test_long_logfmt_takes_no_long_time(spark, line):
+    df = spark.createDataFrame([("c", 1, line)], "case_id string, line_no long, line string")
+    start = time.perf_counter()
+    le.entries(df).collect()
+    assert time.perf_counter() - start < 20
