@@ -193,6 +193,12 @@ def mixed_bounds(spark, d):
     return select.resolve(_lines(spark, d).filter("line_no < 500"), 10, "2024-01-08 00:00:00").select("line_no")
 
 
+@query(f"WITH {_L} SELECT line_no FROM L WHERE line_no >= 9 AND ts_ms <= {_B}")
+def mixed_bounds_all(spark, d):
+    """As mixed_bounds, over all lines."""
+    return select.resolve(_lines(spark, d), 10, "2024-01-08 00:00:00").select("line_no")
+
+
 @query(f"WITH {_L} SELECT line_no - 100 AS line_no, line_no AS source_line, text FROM L WHERE line_no BETWEEN 100 AND 299")
 def trim_range(spark, d):
     return select.trim(_lines(spark, d), 100, 299).select("line_no", "source_line", "text")

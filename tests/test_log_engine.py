@@ -338,3 +338,13 @@ def test_extract_template_twice(spark, tmp_path):
     assert one["new_templates"] == 2 and two["new_templates"] == 1
     ids = [json.load(open(tmp_path / f"{x}.json"))["template_ids"] for x in "ab"]
     assert ids[0][0] == ids[0][1] == ids[1][0] and {i: c for i, _, c in stores.load_templates(store)}[ids[0][0]] == 3
+
+
+def test_mixed_bounds_reach_every_line(spark, sf):
+    from cairnlog.plans import reference_queries as q
+
+    sf = sf.replace("sf0.001", "sf0.01")
+    lines = [(r.line_no, r.ts_ms) for r in src.event_lines(spark, sf).select("line_no", "ts_ms").collect()]
+    want = {n for n, ms in lines if n >= 9 and ms <= families.parse_time_parameter("2024-01-08 00:00:00")}
+    got = lines_of(q.QUERIES["mixed_bounds_all"](spark, sf))
+    assert set(got) == want and len(got) == len(want) and max(want) >= 500
