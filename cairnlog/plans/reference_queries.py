@@ -530,6 +530,18 @@ def profile_time_spans(spark, d):
     return m.filter("matched").select("row_id", "line", F.expr("fields['time'].start").alias("span_start"), F.expr("fields['time'].end").alias("span_end"))
 
 
+@query()
+def profile_time_spans_all(spark, d):
+    """Every header with an explicit time: the span given, the span its layout finds with all families, and whether they agree."""
+    o = table(spark, d, "oracle_lines").filter("row_id is not null").dropDuplicates(["row_id"]).filter((F.col("class") == "header") & (F.col("time") == "explicit"))
+    m = profiles.match_lines(o, "", profiles.Recognizer(families.FAMILIES), ["row_id", "line", "timestamp", "span_start", "span_end"], "line", "profile")
+    m = m.withColumn("found_start", F.when(F.col("matched"), F.expr("fields['time'].start"))).withColumn("found_end", F.when(F.col("matched"), F.expr("fields['time'].end")))
+    same = F.col("span_start").eqNullSafe(F.col("found_start")) & F.col("span_end").eqNullSafe(F.col("found_end"))
+    shape = F.regexp_replace(F.regexp_replace("timestamp", r"\p{N}", "9"), r"\p{L}+", "A")
+    verdict = F.when(~F.coalesce("matched", F.lit(False)), "not recognised").when(same, "same").otherwise("another span")
+    return m.select("row_id", "line", shape.alias("shape"), "span_start", "span_end", "found_start", "found_end", verdict.alias("verdict"))
+
+
 @query()
 def profile_fields(spark, d):
     """Fields that each declared layout reads from the lines of its log."""

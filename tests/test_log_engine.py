@@ -348,3 +348,15 @@ def test_mixed_bounds_reach_every_line(spark, sf):
     want = {n for n, ms in lines if n >= 9 and ms <= families.parse_time_parameter("2024-01-08 00:00:00")}
     got = lines_of(q.QUERIES["mixed_bounds_all"](spark, sf))
     assert set(got) == want and len(got) == len(want) and max(want) >= 500
+
+
+def test_profile_time_spans_leave_no_header_out(spark, sf):
+    from cairnlog.plans import reference_queries as q
+
+    o = spark.read.parquet(f"{sf}/oracle_lines.parquet").filter("row_id is not null and class = 'header' and time = 'explicit'")
+    given = {r.row_id: (r.span_start, r.span_end) for r in o.collect()}
+    got = q.QUERIES["profile_time_spans_all"](spark, sf).collect()
+    assert len(got) == len(given) and {r.row_id for r in got} == set(given)
+    assert all((r.verdict == "same") == ((r.found_start, r.found_end) == given[r.row_id]) and (r.verdict == "not recognised") == (r.found_start is None) for r in got)
+    same = {r.row_id for r in got if r.verdict == "same"}
+    assert same > {r.row_id for r in q.QUERIES["profile_time_spans"](spark, sf).collect()}
