@@ -116,7 +116,7 @@ def _characters(text: str) -> list[tuple[int, int, str]]:
 
 def _digits(text: str) -> list[tuple[int, int, str]]:
     words = text.lower().replace("-", " ").split()
-    if sum(words.count(w) for w in _DIGIT_WORDS.keys() & set(words)) < 6:
+    if sum(words.count(w) for w in _DIGIT_WORDS.keys() & set(words)) < 4:
         return []
     if "1111" not in "".join(["1" if w in _DIGIT_WORDS else "0" for w in words]):
         return []  # the words between the first and the last of six stand bare

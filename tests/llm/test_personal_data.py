@@ -84,3 +84,9 @@ def test_remote_logins_only_behind_the_command():
 def test_disguised_at_needs_no_other_word(address):
     assert found(f"mail {address}, or call") == [("EMAIL", address)]
     assert pd_.redacted(f"mail {address}!", pd_.detect(f"mail {address}!", G)) == "mail <EMAIL_1>!"
+
+
+@pytest.mark.parametrize("number", ["one two three four five six seven", "one two three four five six"])
+@pytest.mark.parametrize("ends", ["()", '""', " ."])
+def test_short_spelled_runs_with_signs_at_their_ends(number, ends):
+    assert pd_.rewrite(f"no.: {ends[0]}{number}{ends[1]}").text == f"no.: {ends[0]}{'1234567'[:len(number.split())]}{ends[1]}"
