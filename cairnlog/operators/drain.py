@@ -126,7 +126,9 @@ def route(lines: DataFrame, config: MinerConfig = MinerConfig()) -> DataFrame:
     its lines join any template there. Routes are worked out on the distinct keys, not on the lines.
     """
     content = F.col("content")
-    cut = F.when(F.octet_length(content) > config.max_bytes, F.call_function("make_valid_utf8", F.substring(F.encode(content, "UTF-8"), 1, config.max_bytes).cast("string"))).otherwise(content)
+    encoded = F.encode(content, "UTF-8")
+    splits = F.hex(F.substring(encoded, config.max_bytes + 1, 1)).between("80", "BF")  # a character lies over the edge: the whole line is mined
+    cut = F.when((F.octet_length(content) > config.max_bytes) & ~splits, F.substring(encoded, 1, config.max_bytes).cast("string")).otherwise(content)
     df = lines.withColumn("content", F.trim(cut)).filter(F.length("content") > 0)
     names = [f"_k{i}" for i in range(len(level_keys(config)))]
     df = df.select("*", *[k.alias(n) for k, n in zip(level_keys(config), names)])

@@ -360,3 +360,10 @@ def test_profile_time_spans_leave_no_header_out(spark, sf):
     assert all((r.verdict == "same") == ((r.found_start, r.found_end) == given[r.row_id]) and (r.verdict == "not recognised") == (r.found_start is None) for r in got)
     same = {r.row_id for r in got if r.verdict == "same"}
     assert same > {r.row_id for r in q.QUERIES["profile_time_spans"](spark, sf).collect()}
+
+
+def test_miner_keeps_whole_what_a_cut_would_split(spark):
+    texts = ["a" * 4095 + "é tail", "a" * 4094 + "é tail", "a" * 4096 + " tail", "a" * 4093 + "\U0001F64F tail", "é tail"]
+    df = spark.createDataFrame(list(enumerate(texts)), "line_no long, content string")
+    got = {r.line_no: r.content for r in drain.route(df).collect()}
+    assert got == {0: texts[0], 1: "a" * 4094 + "é", 2: "a" * 4096, 3: texts[3], 4: texts[4]}
