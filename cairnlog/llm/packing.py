@@ -3,8 +3,8 @@
 Sizes are whole numbers up to the capacity, so any number of items has a histogram of at most `capacity` sizes.
 Bin completion works on it: around the largest size left, the undominated fillings are enumerated, a branch is
 cut as soon as its waste can't beat the incumbent, and a best-fit solution is the first incumbent. A filling is
-applied as often as its sizes last, so the plan is a short list of fillings with multiplicities, whatever the
-number of items. Each item then takes its rank within its size, counted in parallel, and looks up its container.
+tried as often as its sizes last, then less often, so the plan is a short list of fillings with multiplicities,
+whatever the number of items. Each item then takes its rank within its size, counted in parallel, and looks up its container.
 
 Defined results: an item over the capacity is cut into full pieces and a rest, no other is cut; empty and null
 texts have size 0 and go to the containers there are, in turn (a null container if there is none); items of
@@ -17,6 +17,10 @@ from __future__ import annotations
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import blake2b
+from itertools import islice
+from math import inf
+from random import Random
 
 import numpy as np
 import pandas as pd
@@ -30,6 +34,13 @@ from cairnlog.session import stage
 CAPACITY = 2048
 #: Parts that the items of one size are ranked in.
 RANK_PARTS = 256
+#: Containers that are still to be filled when a node also looks for items that fit in no filling.
+NEAR = 64
+#: Fillings put in order at a time, and nodes after which the search first starts anew.
+SORTED, FIRST = 128, 500
+#: Steps the search for a better plan takes by default (a node takes one per size left), and sets of items left it
+#: remembers at a time.
+EFFORT, MET = 5_000_000, 1_000_000
 
 
 @dataclass(frozen=True)
@@ -64,39 +75,97 @@ def best_fit(hist: dict[int, int], capacity: int, largest_first: bool = True) ->
     return plan
 
 
-def fillings(left: dict[int, int], sizes: list[int], capacity: int, width: int, effort: int) -> list[tuple[tuple[int, int], ...]]:
-    """Undominated fillings around the largest size, least waste first.
+def lower_bound(hist: dict[int, int], capacity: int) -> int:
+    """Containers that any solution needs: by volume, and by items too large to share one (Martello and Toth's L2)."""
+    best = -(-sum(s * n for s, n in hist.items()) // capacity)
+    for alpha in {s for s in hist if 2 * s <= capacity} | {0}:
+        alone = sum(n for s, n in hist.items() if s > capacity - alpha)
+        half = [(s, n) for s, n in hist.items() if capacity < 2 * s and s <= capacity - alpha]
+        halves = sum(n for _, n in half)
+        spare = halves * capacity - sum(s * n for s, n in half)
+        best = max(best, alone + halves + max(0, -(-(sum(s * n for s, n in hist.items() if alpha <= s and 2 * s <= capacity) - spare) // capacity)))
+    return best
 
-    A filling is dominated if another size left would still fit, or if one of its sizes could be swapped for a
-    larger one that fits; of fillings with equal waste those with fewer, larger items come first. The search
-    takes larger sizes first and stops at perfect fillings: `width` of them, or after `effort` steps.
-    """
-    top = sizes[-1]
-    found: dict[int, list[tuple[tuple[int, int], ...]]] = {}
-    budget, perfect = [effort], [0]
 
-    def grow(room: int, k: int, content: tuple[tuple[int, int], ...]) -> None:
-        if perfect[0] >= width or budget[0] <= 0:
+def dominated(have: int, left: dict[int, int], content: tuple[tuple[int, int], ...], capacity: int) -> bool:
+    """Whether another filling around the same largest item is never worse. Bit v of `have`: a size v is left.
+
+    That is so if an item left out still fits, or if it can take the place of a smaller item or of several that
+    together are no larger than it: what they leave free goes to the items outside.
+    """
+    room = capacity - sum(s * n for s, n in content)
+    one = several = 0  # bit v: some single item, some two or more of them make v together
+    for i, (s, n) in enumerate(content):
+        if left[s] == n:
+            have &= ~(1 << s)
+        for _ in range(n - (i == 0)):  # the first size is the largest item, which stays
+            several |= (several | one) << s
+            one |= 1 << s
+    swapped, width = several, 1  # sums up to room greater than those of two or more items
+    while width <= room:
+        step = min(width, room + 1 - width)
+        swapped |= swapped << step
+        width += step
+    if room:  # single items: only larger ones are a gain
+        grown = 0
+        for s, n in content[1:] if content[0][1] == 1 else content:
+            grown |= ((1 << room) - 1) << (s + 1)
+        swapped |= grown | ((1 << room) - 1) << 1
+    return bool(swapped & have)
+
+
+def fillings(left: dict[int, int], sizes: list[int], capacity: int, waste: int, beyond: int = 0, work: list[float] | None = None) -> Iterator[tuple[tuple[int, int], ...]]:
+    """The undominated fillings around the largest size that waste at most `waste` and at least `beyond`.
+
+    They are made one at a time, larger sizes first, so that a search takes only as many as it needs. `left` may
+    change between two of them if it is as before when the next is asked for. work: a counter of the steps taken
+    and their limit; beyond it no more are made.
+    """
+    top, work = sizes[-1], work or [0, inf]
+    upto, least = [0], sizes[0]  # upto[k]: volume of the k smallest sizes, the largest item itself left out
+    for s in sizes:
+        upto.append(upto[-1] + s * (left[s] - (s == top)))
+    have = sum(1 << s for s in sizes)
+    work[0] += len(sizes)
+
+    def grow(room: int, k: int, content: tuple[tuple[int, int], ...], waste: int, have: int, one: int, several: int) -> Iterator[tuple[tuple[int, int], ...]]:
+        work[0] += 1
+        if work[0] > work[1]:
             return
-        budget[0] -= 1
+        if room <= waste:
+            yield content
         k = min(k, bisect_left(sizes, room + 1) - 1)
-        if room == 0 or k < 0:
-            # with no smaller size fitting, the filling is maximal; keep it unless its waste is beaten already
-            kept = found.setdefault(room, [])
-            if len(kept) < width and content not in kept:
-                kept.append(content)
-                perfect[0] += room == 0
-            return
-        s = sizes[k]
-        most = min(left[s] - (s == top), room // s)
-        for n in range(most, -1, -1):
-            if n == 0 and k == 0 and most > 0:
-                break  # leaving out the smallest size that fits is dominated
-            grow(room - n * s, k - 1, (*content, (s, n)) if n else content)
-
-    grow(capacity - top, len(sizes) - 1, ())
-    out = [c for waste in sorted(found) for c in found[waste]][:width]
-    return [_joined(((top, 1), *c)) for c in out] or [((top, 1),)]
+        low = bisect_left(sizes, room - waste) if room < 2 * least else 0  # only one more item fits: it fills the room
+        while k >= low and room - waste <= upto[k + 1]:
+            s = sizes[k]
+            most = min(left[s] - (s == top), room // s)
+            work[0] += most
+            steps = []
+            a, c = one, several
+            for n in range(1, most + 1):
+                a, c = a | 1 << s, c | (c | a) << s
+                h = have & ~(1 << s) if n == left[s] - (s == top) else have
+                if c & h:
+                    break  # these stand for one larger item, and no smaller item added will change that
+                steps.append((n, h, a, c))
+            for n, h, a, c in reversed(steps):
+                yield from grow(room - n * s, k - 1, (*content, (s, n)), waste, h, a, c)
+            k -= 1
+
+    for c in grow(capacity - top, len(sizes) - 1, (), waste, have if left[top] > 1 else have & ~(1 << top), 0, 0):
+        whole = _joined(((top, 1), *c))
+        if capacity - sum(s * n for s, n in whole) >= beyond and not dominated(have, left, whole, capacity):
+            yield whole
+
+
+def stuck(left: dict[int, int], sizes: list[int], capacity: int, slack: int) -> bool:
+    """Whether some item can be in no filling that wastes at most `slack`: no sum of items comes near enough to its room."""
+    reach = 1
+    for s in sizes:
+        for _ in range(min(left[s], capacity // s)):
+            reach |= reach << s
+    window = (1 << (slack + 1)) - 1
+    return any(not (reach >> (capacity - s - slack) if s + slack <= capacity else reach << (s + slack - capacity)) & window for s in sizes)
 
 
 def _joined(content: tuple[tuple[int, int], ...]) -> tuple[tuple[int, int], ...]:
@@ -106,12 +175,14 @@ def _joined(content: tuple[tuple[int, int], ...]) -> tuple[tuple[int, int], ...]
     return tuple(sorted(total.items(), reverse=True))
 
 
-def bin_completion(hist: dict[int, int], capacity: int, width: int = 3, effort: int = 400, nodes: int = 20_000) -> list[Filling]:
+def bin_completion(hist: dict[int, int], capacity: int, effort: float = EFFORT) -> list[Filling]:
     """Branch and bound over fillings. The result never has more containers than best-fit decreasing.
 
-    width: fillings tried at a node; effort: steps of one enumeration; nodes: nodes of the whole search. They
-    bound the solver's time, not the items: every item is placed. The search ends early once the number of
-    containers equals the volume bound.
+    A node takes a filling around the largest item left and how often it is applied, most often first; what it
+    wastes may not exceed what a better solution than the incumbent may waste, and a set of items left that was
+    met before with no more containers used is not searched again. The search ends once the incumbent meets the
+    lower bound or nothing is left to search: then it is optimal. effort: after so many steps the incumbent is
+    returned as it is; infinity searches to the end. It bounds the solver's time, not the items: every item is placed.
     """
     hist = {s: n for s, n in hist.items() if n > 0}
     if not hist:
@@ -119,13 +190,16 @@ def bin_completion(hist: dict[int, int], capacity: int, width: int = 3, effort:
     incumbent = best_fit(hist, capacity)
     best = sum(f.times for f in incumbent)
     volume = sum(s * n for s, n in hist.items())
-    bound = -(-volume // capacity)
-    allowed = lambda: (best - 1) * capacity - volume  # noqa: E731  waste that a better solution may have
+    bound = lower_bound(hist, capacity) if best > -(-volume // capacity) else best
     left, sizes = dict(hist), sorted(hist)
+    code = {s: int.from_bytes(blake2b(str(s).encode(), digest_size=16).digest()) for s in hist}
+    state = whole = sum(code[s] * n for s, n in hist.items())
+    tie, work = Random(1), [0, effort]
+    met: dict[int, int] = {}
     path: list[Filling] = []
     used = waste = visited = 0
 
-    def apply(f: Filling, sign: int) -> None:
+    def apply(f: Filling, sign: int) -> int:
         for s, n in f.content:
             before = left.get(s, 0)
             left[s] = before - sign * n * f.times
@@ -134,37 +208,59 @@ def bin_completion(hist: dict[int, int], capacity: int, width: int = 3, effort:
                 del left[s]
             elif before == 0:
                 insort(sizes, s)
-
-    def options() -> list[Filling]:
-        made = []
-        for c in fillings(left, sizes, capacity, width, effort):
-            made.append(Filling(c, min(left[s] // n for s, n in c)))
-        return made[::-1]
-
-    stack = [options()]
-    while stack and best > bound and visited < nodes:
-        if not stack[-1]:
+        return sign * f.times * sum(code[s] * n for s, n in f.content)
+
+    def options(slack: int) -> Iterator[Filling]:
+        most, beyond = 0, 0
+        while beyond <= slack:  # little waste first
+            made = fillings(left, sizes, capacity, most, beyond, work)
+            while some := list(islice(made, SORTED)):  # items of which most are left are used first
+                for *_, c in sorted((-min(left[s] / n for s, n in c), tie.random(), c) for c in some):
+                    for times in range(min(left[s] // n for s, n in c), 0, -1):
+                        yield Filling(c, times)
+            most, beyond = min(slack, 2 * most + 1), most + 1
+
+    spare = lambda: (best - 1) * capacity - volume - waste  # noqa: E731  waste that a better solution may still have
+    stack = [options(spare())]
+    turn, until = FIRST, FIRST
+    while stack and best > bound and work[0] < effort:
+        if visited >= until:  # an early choice may be wrong: start anew with other ties, for longer
+            turn += turn // 2
+            until = visited + turn
+            for f in reversed(path):
+                apply(f, -1)
+            path.clear()
+            met.clear()
+            used, waste, state = 0, 0, whole
+            stack = [options(spare())]
+        f = next(stack[-1], None)
+        if f is None:
             stack.pop()
             if path:
                 f = path.pop()
-                apply(f, -1)
+                state -= apply(f, -1)
                 used -= f.times
                 waste -= f.times * (capacity - sum(s * n for s, n in f.content))
             continue
-        f = stack[-1].pop()
         lost = f.times * (capacity - sum(s * n for s, n in f.content))
-        if waste + lost > allowed():
+        if lost > spare():
             continue  # bounded by waste
         visited += 1
-        apply(f, 1)
+        work[0] += len(sizes)
+        state -= apply(f, 1)
         path.append(f)
         used, waste = used + f.times, waste + lost
         if not sizes:
             if used < best:
                 best, incumbent = used, list(path)
-            stack.append([])
+            stack.append(iter(()))
+        elif met.get(state, used + 1) <= used or (volume + waste - used * capacity < NEAR * capacity and stuck(left, sizes, capacity, spare())):
+            stack.append(iter(()))
         else:
-            stack.append(options())
+            if len(met) >= MET:
+                met.clear()
+            met[state] = used
+            stack.append(options(spare()))
     return incumbent
 
 
@@ -198,7 +294,7 @@ def lookup_of(plan: list[Filling]) -> tuple[dict[int, tuple[np.ndarray, np.ndarr
     return {s: tuple(np.array(c, dtype=np.int64) for c in zip(*r)) for s, r in rows.items()}, first
 
 
-def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+def pack(items: DataFrame, capacity: int = CAPACITY, effort: float = EFFORT) -> DataFrame:
     """items (doc_id, piece, token_start, token_end, size) -> the same with their container.
 
     Only the histogram, at most `capacity` rows, comes to the driver; only the plan, a list of fillings bounded
@@ -206,7 +302,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """
     items = stage(items, "pieces")
     hist = {r["size"]: r["n"] for r in items.filter("size > 0").groupBy("size").agg(F.count("*").alias("n")).collect()}
-    at, total = lookup_of(bin_completion(hist, capacity))
+    at, total = lookup_of(bin_completion(hist, capacity, effort))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairnlog.llm import mixing, packing, personal_data, runs, sequence_mining
-from cairnlog.session import table
+from cairnlog.llm.tokens import with_token_counts
+from cairnlog.session import stage, table
 
 
 def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,6 +38,30 @@ def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.fill_report(p7_pack(spark, sf_dir))
 
 
+def p7_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of p7_pack: each text placed once and whole, cut only if it alone is too long, no container too full, none too many."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    packed = stage(packing.pack(packing.pieces(with_token_counts(docs, "doc_id", "text"), packing.CAPACITY)), "packed")
+    size = F.col("token_end") - F.col("token_start")
+    per_doc = packed.groupBy("doc_id").agg(F.count("*").alias("parts"), F.sum(size).alias("tokens"), F.max("token_end").alias("end"), F.countDistinct("piece").alias("distinct"))
+    wrong = per_doc.agg(
+        F.count("*").alias("docs"), F.count_if((F.col("tokens") != F.col("end")) | (F.col("parts") != F.col("distinct"))).alias("not_whole"),
+        F.count_if(F.col("parts") != F.greatest(F.lit(1), F.ceil(F.col("tokens") / packing.CAPACITY))).alias("cut_needlessly"), F.ceil(F.sum("tokens") / packing.CAPACITY).alias("bound"))
+    per = packed.filter("container is not null").groupBy("container").agg(F.sum(size).alias("held")).agg(F.count_if(F.col("held") > packing.CAPACITY).alias("too_full"), F.count("*").alias("n"))
+    return wrong.crossJoin(per).select("docs", "not_whole", "cut_needlessly", "too_full", (F.col("n") - F.col("bound")).alias("above_bound"))
+
+
+def p7_tight(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three items per nation that together fill a container of 1,000, packed without knowing which belong together."""
+    a, b = F.col("a"), F.col("b")
+    k = F.col("n_nationkey").cast("long")
+    made = table(spark, sf_dir, "nation").select("n_nationkey", (380 + (k * 37 + 11) % 111).alias("a"))
+    made = made.withColumn("b", 250 + (k * 53 + 7) % (F.floor((1000 - a) / 2) - 249)).select("n_nationkey", F.posexplode(F.array(a, b, 1000 - a - b)).alias("i", "size"))
+    items = made.select((k * 3 + F.col("i")).alias("doc_id"), F.lit(0).alias("piece"), F.lit(0).cast("long").alias("token_start"), F.col("size").cast("long").alias("token_end"), F.col("size").cast("int").alias("size"))
+    per = packing.pack(items, 1000).groupBy("container").agg(F.count("*").alias("items"), F.sum("token_end").alias("held"))
+    return per.agg(F.count("*").alias("containers"), F.sum("items").alias("items"), F.min("held").alias("least_held"), F.max("held").alias("most_held"))
+
+
 #: A curriculum: the first source fades out over the training time while the second comes in.
 _FADES = {"stackyard": [(0.0, 1.5), (1.0, 0.5)], "querybarn": [(0.0, 0.5), (1.0, 1.5)]}
 
@@ -57,7 +82,7 @@ def p9_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data.redact(table(spark, sf_dir, "documents"), table(spark, sf_dir, "name_parts"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_collapsed, p6_found, p6_supports, p7_pack, p7_report, p8_mix, p8_shares, p9_found, p9_redacted)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_collapsed, p6_found, p6_supports, p7_pack, p7_report, p7_invariants, p7_tight, p8_mix, p8_shares, p9_found, p9_redacted)}
 
 _CATALOG = r"""
 forms AS (SELECT template_id, array_to_string(list_filter(list_transform(regexp_split_to_array(lower(regexp_replace(trim(pattern), '<[^<>\s]*>', chr(1), 'g')), '\s+'),
@@ -78,6 +103,8 @@ found AS (SELECT sequence_id, CAST(min(pos) AS INT) AS first_pos, CAST(max(pos)
 """
 
 ORACLE = {
+    "p7_invariants": "SELECT count(DISTINCT doc_id) AS docs, CAST(0 AS BIGINT) AS not_whole, CAST(0 AS BIGINT) AS cut_needlessly, CAST(0 AS BIGINT) AS too_full, CAST(0 AS BIGINT) AS above_bound FROM documents",
+    "p7_tight": "SELECT count(*) AS containers, 3 * count(*) AS items, CAST(1000 AS BIGINT) AS least_held, CAST(1000 AS BIGINT) AS most_held FROM nation",
     "p2_found": f"WITH {_CATALOG} SELECT sequence_id, first_pos, last_pos FROM found WHERE events >= 3",
     "p2_collapsed": f"WITH {_CATALOG} SELECT sequence_id, first_pos, last_pos, events, event_class, start_ts_ms, CASE WHEN start_ts_ms IS NULL THEN NULL ELSE duration_raw END AS duration_ms FROM found",
 }

@@ -1,6 +1,8 @@
 import random
 from collections import Counter
 
+import pytest
+
 from cairnlog.llm import packing
 from cairnlog.llm.tokens import count_tokens
 
@@ -58,6 +60,45 @@ def test_large_histogram_reaches_the_volume_bound():
     assert sum(f.times for f in plan) <= bound * 1.001 + 1
 
 
+def triplets(n, seed):
+    """Items that fill n containers of 1,000 by threes without waste."""
+    rnd, out = random.Random(seed), []
+    for _ in range(n):
+        a = rnd.randint(380, 490)
+        b = rnd.randint(250, (1000 - a) // 2)
+        out += [a, b, 1000 - a - b]
+    return Counter(out)
+
+
+@pytest.mark.parametrize("n,seed,over", [(20, 1, 0), (20, 2, 0), (40, 1, 0), (40, 2, 1), (80, 1, 1), (200, 1, 1)])
+def test_triplets_with_a_perfect_packing(n, seed, over):
+    hist = triplets(n, seed)
+    plan = packing.bin_completion(hist, 1000, effort=6_000_000)
+    assert spend(plan) == hist and all(sum(s * k for s, k in f.content) <= 1000 for f in plan)
+    assert sum(f.times for f in plan) <= n + over < sum(f.times for f in packing.best_fit(hist, 1000)) - 3 * (n < 200)
+
+
+def test_search_to_the_end_is_optimal():
+    rnd = random.Random(11)
+    for _ in range(150):
+        cap = rnd.choice([10, 13, 20, 31])
+        sizes = [rnd.randint(1, cap) for _ in range(rnd.randint(1, 9))]
+        plan = packing.bin_completion(Counter(sizes), cap, effort=float('inf'))
+        assert spend(plan) == Counter(sizes) and sum(f.times for f in plan) == optimum(sizes, cap)
+
+
+def test_dominated_fillings_are_left_out():
+    left = Counter([7, 6, 5, 4, 3, 3, 2])
+    made = list(packing.fillings(left, sorted(left), 16, 15))
+    assert ((7, 1), (2, 1)) not in made and ((7, 1), (6, 1), (3, 1)) in made
+    assert all(16 - sum(s * n for s, n in c) < 2 for c in made)  # nothing left out still fits
+    assert ((9, 1), (4, 1), (3, 1)) not in list(packing.fillings(Counter([9, 7, 4, 3]), [3, 4, 7, 9], 16, 15))  # 7 stands for 4 and 3
+
+
+def test_lower_bound_counts_items_that_cannot_share():
+    assert packing.lower_bound({6: 3}, 10) == 3 and packing.lower_bound({5: 4}, 10) == 2 and packing.lower_bound({}, 10) == 0
+
+
 def pack(spark, sizes, cap=10):
     df = spark.createDataFrame(list(enumerate(sizes)), "doc_id long, tokens long")
     return packing.pack(packing.pieces(df, cap), cap).collect()
