@@ -102,7 +102,21 @@ found AS (SELECT sequence_id, CAST(min(pos) AS INT) AS first_pos, CAST(max(pos)
           FROM numbered GROUP BY sequence_id, run)
 """
 
+# Frequent steps are joined end to end; a pattern's occurrences are its last positions.
+_STEPS = """
+seqs AS (SELECT row_number() OVER () AS s, f, ids FROM (SELECT DISTINCT source_file AS f, template_ids AS ids FROM template_sequences WHERE source_file IS NOT NULL)),
+least AS (SELECT greatest(3, (count(DISTINCT f) * 12 + 99) // 100) AS n FROM seqs),
+items AS (SELECT s, f, unnest(ids) AS id, generate_subscripts(ids, 1) AS pos FROM seqs),
+steps AS (SELECT a.s, a.f, a.id AS x, b.id AS y, a.pos AS i, b.pos AS j FROM items a JOIN items b ON a.s = b.s AND b.pos BETWEEN a.pos + 1 AND a.pos + 4 WHERE a.id <> 0 AND b.id <> 0 AND a.id <> b.id),
+fsteps AS (SELECT * FROM steps WHERE (x, y) IN (SELECT (x, y) FROM steps GROUP BY x, y HAVING count(DISTINCT f) >= (SELECT n FROM least))),
+g2 AS (SELECT DISTINCT s, f, [x, y] AS p, j FROM fsteps)""" + "".join(f""",
+g{n} AS (SELECT DISTINCT g.s, g.f, list_append(g.p, t.y) AS p, t.j FROM g{n - 1} g JOIN fsteps t ON t.s = g.s AND t.i = g.j WHERE NOT list_contains(g.p, t.y)),
+h{n} AS (SELECT p, count(DISTINCT f) AS support FROM g{n} GROUP BY p HAVING count(DISTINCT f) >= (SELECT n FROM least))""" for n in (3, 4, 5))
+_PATTERNS = "(" + " UNION ALL ".join(f"SELECT array_to_string(p, '-') AS pattern, support FROM h{n}" for n in (3, 4, 5)) + ")"
+
 ORACLE = {
+    "p6_found": f"WITH {_STEPS} SELECT pattern FROM {_PATTERNS}",
+    "p6_supports": f"WITH {_STEPS} SELECT pattern, support FROM {_PATTERNS}",
     "p7_invariants": "SELECT count(DISTINCT doc_id) AS docs, CAST(0 AS BIGINT) AS not_whole, CAST(0 AS BIGINT) AS cut_needlessly, CAST(0 AS BIGINT) AS too_full, CAST(0 AS BIGINT) AS above_bound FROM documents",
     "p7_tight": "SELECT count(*) AS containers, 3 * count(*) AS items, CAST(1000 AS BIGINT) AS least_held, CAST(1000 AS BIGINT) AS most_held FROM nation",
     "p2_found": f"WITH {_CATALOG} SELECT sequence_id, first_pos, last_pos FROM found WHERE events >= 3",

@@ -1,4 +1,3 @@
-import itertools
 import random
 from collections import defaultdict
 
@@ -39,12 +38,17 @@ def test_against_brute_force(spark):
     assert mine(spark, rows, share=0.5) == brute(rows, 5)
 
 
-def test_without_pruning_and_with_little_memory(spark, monkeypatch):
-    rows = data(2, 30)
-    want = brute(rows, 3)
+def test_steps_by_joins_and_many_parts(spark, monkeypatch):
+    rows = data(2, 60)
+    want = brute(rows, 4)
+    assert want and mine(spark, rows, share=0.4) == want
     monkeypatch.setattr(sm, "MAX_PAIRS", 0)
-    monkeypatch.setattr(sm, "HELD", 1)
-    assert mine(spark, rows, share=0.3) == want
+    assert mine(spark, rows, share=0.4) == want
+    monkeypatch.setattr(sm, "PER_PART", 2)
+    assert mine(spark, rows, share=0.4) == want
+    monkeypatch.setattr(sm, "COUNTED", 3)
+    monkeypatch.setattr(sm, "MAX_PAIRS", 10_000)
+    assert mine(spark, rows, share=0.4) == want
 
 
 def test_empty_null_repeated_hot(spark):
@@ -53,11 +57,32 @@ def test_empty_null_repeated_hot(spark):
     assert mine(spark, [("a", [1, 2, 3]), ("b", [1, 2, 3])]) == {}  # fewer than three
 
 
-def test_automata_keep_their_words():
+def test_an_automaton_has_the_patterns_of_its_pivot():
     rnd = random.Random(4)
-    for _ in range(50):
-        ws = {tuple(rnd.randint(1, 4) for _ in range(rnd.randint(3, 5))) for _ in range(rnd.randint(1, 20))}
-        a = sm.minimised(ws)
-        assert set(sm.words_of(a)) == ws and len(sm.words_of(a)) == len(ws) and a == sm.minimised(set(list(ws)[::-1]))
-    full = set(itertools.product((1, 2), repeat=4))
-    assert sm.minimised(full).count("|") == 4  # shared suffixes
+    for _ in range(60):
+        ids = [rnd.randint(1, 6) for _ in range(rnd.randint(3, 14))]
+        rank = {x: (rnd.randint(0, 3), x) for x in range(1, 7)}
+        moves = {p: [q for q in range(p + 1, min(len(ids), p + 5)) if ids[q] != ids[p]] for p in range(len(ids))}
+        want = defaultdict(set)
+        for w in brute([("e", ids)], 1):
+            w = tuple(map(int, w.split("-")))
+            want[max(w, key=rank.get)].add(w)
+        for pivot in set(ids):
+            a = sm.automaton_of(ids, moves, rank, pivot, 3, 5)
+            assert (sm.words_of(a) if a else set()) == want[pivot]
+
+
+def test_united_automata_and_growth_on_them():
+    moves = lambda ids: {p: list(range(p + 1, min(len(ids), p + 5))) for p in range(len(ids))}
+    rank = {x: (0, x) for x in range(9)}
+    a, b = ([sm.automaton_of(ids, moves(ids), rank, 5, 3, 5) for ids in ([1, 2, 5, 3], [2, 5, 1, 4])])
+    assert sm.words_of(sm.united([a, b])) == sm.words_of(a) | sm.words_of(b)
+    grown = sm.grow({a: 2, b: 1}, 2, 5)
+    assert grown == {w: 2 for w in sm.words_of(a) - sm.words_of(b)} | {w: 3 for w in sm.words_of(a) & sm.words_of(b)}
+
+
+def test_equal_continuations_are_one_state():
+    ids = [1, 2, 3, 9, 1, 2, 3]
+    moves = {0: [1], 1: [2], 4: [5], 5: [6]}
+    a = sm.automaton_of(ids, moves, {x: (0, x) for x in ids}, 3, 3, 5)
+    assert sm.words_of(a) == {(1, 2, 3)} and a.count("|") == 3
