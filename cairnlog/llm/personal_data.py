@@ -36,17 +36,18 @@ _DIGIT_WORDS = {
 }
 _DIGIT_WORD = "|".join(sorted(_DIGIT_WORDS, key=len, reverse=True))
 _SPELLED = re.compile(rf"(?i)\b(?:{_DIGIT_WORD})(?:[ -]+(?:{_DIGIT_WORD}))" + r"{5,}\b")
-#: Longest label of a host, most labels, and most characters or written dots of a local part: longer ones are no addresses.
-_HOST, _LABELS, _MOST = r"[A-Za-z0-9-]{1,63}", "{1,8}", "{0,100}"
 _BRACKET_AT, _BRACKET_DOT = (rf"[ \t]*[\[({{<][ \t]*(?i:{w})[ \t]*[\])}}>][ \t]*" for w in ("at|arobase|arroba", "dot|punkt|punto|point"))
-_LOCAL = r"(?<![\w.+%-])[A-Za-z0-9](?:[A-Za-z0-9._%+-]|"
-_END = r"(?![\w@-])"
+_WORD_DOT = r"[ \t]+(?:dot|DOT)[ \t]+"
+_HOST = r"[A-Za-z0-9-]++"
+#: How an at is written, and how the dots of the host behind it are (a host without one is none).
 _DISGUISED = [
-    re.compile(rf"{_LOCAL}{_BRACKET_DOT}){_MOST}(?P<at>{_BRACKET_AT}){_HOST}(?:(?:{_BRACKET_DOT}|[ \t]+(?:dot|DOT)[ \t]+|\.){_HOST}){_LABELS}{_END}"),
-    re.compile(rf"{_LOCAL}[ \t]+(?:dot|DOT)[ \t]+(?=[A-Za-z0-9])){_MOST}(?P<at>[ \t]+(?:at|AT)[ \t]+){_HOST}(?:(?:[ \t]+(?:dot|DOT)[ \t]+|{_BRACKET_DOT}){_HOST}){_LABELS}{_END}"),
-    re.compile(rf"{_LOCAL}{_BRACKET_DOT}){_MOST}(?P<at>[ \t]*@[ \t]*){_HOST}(?:{_BRACKET_DOT}{_HOST}){_LABELS}{_END}"),
-    re.compile(rf"{_LOCAL}{_BRACKET_DOT}){_MOST}(?P<at>[ \t]+@[ \t]+){_HOST}(?: ?\. ?{_HOST}){_LABELS}{_END}"),
+    (re.compile(_BRACKET_AT), re.compile(rf"{_HOST}(?:(?:{_BRACKET_DOT}|{_WORD_DOT}|\.){_HOST})++(?![\w@-])")),
+    (re.compile(r"[ \t]++(?:at|AT)[ \t]++"), re.compile(rf"{_HOST}(?:(?:{_WORD_DOT}|{_BRACKET_DOT}){_HOST})++(?![\w@-])")),
+    (re.compile(r"[ \t]*+@[ \t]*+"), re.compile(rf"{_HOST}(?:{_BRACKET_DOT}{_HOST})++(?![\w@-])")),
+    (re.compile(r"[ \t]++@[ \t]++"), re.compile(rf"{_HOST}(?: ?\. ?{_HOST})++(?![\w@-])")),
 ]
+#: A written dot read backwards: in brackets, or as a word with something before it.
+_DOT_BACK = re.compile(r"[ \t]*+[\])}>][ \t]*(?i:tod|tknup|otnup|tniop)[ \t]*[\[({<][ \t]*+(?=[A-Za-z0-9_])|[ \t]++(?:tod|TOD)[ \t]++(?=[A-Za-z0-9_])")
 _DOTS = re.compile(rf"{_BRACKET_DOT}|[ \t]+(?:dot|DOT)[ \t]+| ?\. ?")
 _HINT = re.compile(r"(?i)[\[({<]\s*(?:at|arobase|arroba|dot|punkt|punto|point)\s*[\])}>]|\sdot\s|\s@|@\s")
 #: What a text holds if it has a disguise without a bare "dot": an at or a dot in brackets, or an @ between blanks.
@@ -75,6 +76,7 @@ class Rewritten:
         self.text = text
         self.begin: list[int] | None = None
         self.end: list[int] | None = None
+        self.spelled: list[tuple[int, int]] = []  # where numbers stand that were spelled out
 
     def replace(self, edits: list[tuple[int, int, str]]) -> None:
         """edits: (start, end, new) in order; every new character stands for the whole replaced span."""
@@ -114,13 +116,22 @@ def _characters(text: str) -> list[tuple[int, int, str]]:
     return edits
 
 
+def _small(text: str) -> str:
+    """Small letters, also where an expression that ignores case takes one letter for another."""
+    return text.lower() if text.isascii() else text.translate(_ODD_CASES).lower()
+
+
+# Letters whose other case lies outside their alphabet.
+_ODD_CASES = str.maketrans({"\u0130": "i", "\u0131": "i", "\u017f": "s", "\u212a": "k"})
+
+
 def _digits(text: str) -> list[tuple[int, int, str]]:
-    words = text.lower().replace("-", " ").split()
+    words = _small(text).replace("-", " ").split()
     if sum(words.count(w) for w in _DIGIT_WORDS.keys() & set(words)) < 4:
         return []
     if "1111" not in "".join(["1" if w in _DIGIT_WORDS else "0" for w in words]):
         return []  # the words between the first and the last of six stand bare
-    return [(m.start(), m.end(), "".join(_DIGIT_WORDS[w.lower()] for w in re.split(r"[ -]+", m[0]))) for m in _SPELLED.finditer(text)]
+    return [(m.start(), m.end(), "".join(_DIGIT_WORDS[_small(w)] for w in re.split(r"[ -]+", m[0]))) for m in _SPELLED.finditer(text)]
 
 
 def _disguises(text: str) -> list[tuple[int, int, str]]:
@@ -128,32 +139,72 @@ def _disguises(text: str) -> list[tuple[int, int, str]]:
         return []
     edits: list[tuple[int, int, str]] = []
     free = Free()
-    for pattern in _DISGUISED:
-        for m in pattern.finditer(text):
-            if free.take(*m.span()):
-                local, host = text[m.start() : m.start("at")], text[m.end("at") : m.end()]
-                edits.append((m.start(), m.end(), _DOTS.sub(".", local) + "@" + _DOTS.sub(".", host)))
+    back = text[::-1]
+    for written, hosts in _DISGUISED:
+        end = 0
+        for at in written.finditer(text):
+            host = hosts.match(text, at.end())
+            begin = _local_part(text, back, at.start(), end) if host else at.start()
+            if begin < at.start() and free.take(begin, host.end()):
+                end = host.end()
+                edits.append((begin, end, _DOTS.sub(".", text[begin : at.start()]) + "@" + _DOTS.sub(".", host[0])))
     return sorted(edits)
 
 
+def _local_part(text: str, back: str, at: int, least: int) -> int:
+    """Where the local part that ends at `at` begins: letters, signs and written dots, of any length."""
+    i, n = at, len(text)
+    while i > least:
+        if text[i - 1] in _LOCAL_CHARACTERS:
+            i -= 1
+        elif i < at and text[i].isalnum() and (m := _DOT_BACK.match(back, n - i)) and n - m.end() > least:
+            i = n - m.end()
+        else:
+            break
+    while i < at and not (text[i] in _LOCAL_FIRST and (i == 0 or not (text[i - 1].isalnum() or text[i - 1] in "_.+%-"))):
+        i += 1
+    return i
+
+
 def _cases(words: Iterable[str]) -> frozenset[str]:
     """Words as they stand in a text: small, with a capital, in capitals."""
     return frozenset(x for w in words for x in (w, w.capitalize(), w.upper()))
 
 
-_DIGIT_CASES, _DOT_CASES = _cases(_DIGIT_WORDS), frozenset(["dot", "DOT"])
+_DOT_CASES = frozenset(["dot", "DOT"])
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
+_no_digits: set[str] = set()
+
+
+def _any_digit_word(words: set[str]) -> bool:
+    """Whether one of a text's words is a digit word in any case; those that aren't are remembered."""
+    if len(_no_digits) > 1_000_000:
+        _no_digits.clear()
+    new = {w for w in words - _no_digits if _small(w) not in _DIGIT_WORDS}
+    _no_digits.update(new)
+    return not words <= _no_digits
+
+
 def rewrite(text: str, words: set[str] | None = None) -> Rewritten:
     """words: the text's words, if known; they tell cheaply which transducers have nothing to do."""
     r = Rewritten(text)
     r.replace(_characters(text))
     words = words if words is not None and r.begin is None else set(_LETTERS.findall(r.text))
-    if words & _DIGIT_CASES:
-        r.replace(_digits(r.text))
+    r.spelled = []
+    if _any_digit_word(words):
+        edits = _digits(r.text)
+        r.replace(edits)
+        grown = 0
+        for b, e, new in edits:
+            r.spelled.append((b + grown, b + grown + len(new)))
+            grown += len(new) - (e - b)
     if words & _DOT_CASES or _BRACKETED.search(r.text) or _APART.search(r.text):
-        r.replace(_disguises(r.text))
+        edits = _disguises(r.text)
+        r.replace(edits)
+        for b, e, new in reversed(edits):  # numbers behind an address move with it
+            r.spelled = [(x, y) if x < b else (x + len(new) - (e - b), y + len(new) - (e - b)) for x, y in r.spelled]
     return r
 
 
@@ -161,7 +212,8 @@ _EMAIL = re.compile(r"(?<![\w.+%-])[A-Za-z0-9](?:[A-Za-z0-9._%+-]*[A-Za-z0-9_])?
 _REMOTE = re.compile(r"(?i)\b(?:ssh|scp|sftp|rsync|mosh|telnet|ssh-copy-id)\b|\bgit\s+(?:clone|remote|fetch|pull|push)\b")
 _REMOTE_WORDS = frozenset(x for w in ("ssh", "scp", "sftp", "rsync", "mosh", "telnet", "git") for x in (w, w.capitalize(), w.upper()))
 
-_LOCAL_CHARACTERS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
+_LOCAL_FIRST = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
+_LOCAL_CHARACTERS = _LOCAL_FIRST | frozenset("._%+-")
 
 
 def _emails(text: str) -> Iterator[re.Match]:
@@ -179,6 +231,7 @@ def _emails(text: str) -> Iterator[re.Match]:
 
 
 _EXT = r"(?:,?\s*(?:ext\.?|extension|x|Durchwahl|poste|interno)\s*\d{1,6}\b)?"
+_EXTENSION = re.compile(f"(?i){_EXT}")
 _PHONES = [
     re.compile(rf"(?i)(?<![\w+.])\+\d{{1,3}}(?:[ .-]?\(0\)[ ]?\d{{1,5}}|[ .-]?\(\d{{1,5}}\))?(?:[ .-]?\d{{1,8}}){{1,7}}(?!\d|[.-]\d){_EXT}"),
     re.compile(rf"(?i)(?<![\w(+])\(\d{{2,5}}\)[ -]?\d{{3,4}}[ .-]\d{{3,5}}(?!\d|[.-]\d){_EXT}"),
@@ -331,12 +384,31 @@ _TITLE = re.compile(r"(?:\b(?:Mr|Mrs|Ms|Miss|Dr|Prof|Sir|Herr|Herrn|Frau|Mme|Mll
 _SIGN = re.compile(r"[ \t>]*(?:--|—|–|~|-|\*)?[ \t]*")
 
 
-def _names(text: str, grammar: NameGrammar, words_of_text: set[str]) -> list[tuple[int, int]]:
+_CAPITAL = r"(?-i:[A-ZÀ-Þ])[\w'’-]*(?-i:[a-zß-ÿ])"
+#: Names that their surroundings tell, whatever they are made of: behind a title, a word that introduces, a closing.
+_TOLD = [
+    re.compile(rf"(?i)\b(?:Mr|Mrs|Ms|Miss|Dr|Prof|Herrn?|Frau|Mme|Mlle|Monsieur|Madame|Señora?|Señorita|Sra?|Don|Doña)\.? ({_CAPITAL}(?:(?: |-| [A-Z]\. ){_CAPITAL})++)"),
+    re.compile(rf"(?i)\b(?:my name is|mein Name ist|ich heiße|je m['’]appelle|me llamo|mi nombre es) ({_CAPITAL}(?:(?: |-| [A-Z]\. ){_CAPITAL})*+)"),
+    re.compile(rf"(?im)^[ \t]*(?:(?:kind |best |warm )?regards|cheers|(?:many )?thanks|sincerely(?: yours)?|mit freundlichen grüßen|viele grüße|cordialement|saludos)[,!.]?[ \t]*\n[ \t]*(?:--|—|–|~|-)?[ \t]*({_CAPITAL}(?:(?: |-| [A-Z]\. ){_CAPITAL})*+)[ \t]*$"),
+]
+_TOLD_WORDS = [
+    _cases("mr mrs ms miss dr prof herr herrn frau mme mlle monsieur madame señor señora señorita sr sra don doña".split()),
+    _cases("name heiße appelle llamo nombre".split()), _cases("regards cheers thanks sincerely grüßen grüße cordialement saludos".split()),
+]
+
+
+def _told(text: str, words: set[str]) -> list[tuple[int, int]]:
+    """Names in surroundings that tell them, also where no part of them is like the listed ones."""
+    return [m.span(1) for p, signs in zip(_TOLD, _TOLD_WORDS) if not words.isdisjoint(signs) for m in p.finditer(text)]
+
+
+def _names(text: str, grammar: NameGrammar, words_of_text: set[str], most: float = float("inf")) -> list[tuple[int, int]]:
+    """Runs of words like names; most: words after which a new name begins."""
     words = [m.span() for m in grammar.pattern.finditer(text)] if grammar.any_name(words_of_text) else []
     out, i = [], 0
     while i < len(words):
         j = i
-        while j + 1 < len(words) and text[words[j][1] : words[j + 1][0]] in (" ", "-", ", ") and j - i < 4:
+        while j + 1 < len(words) and text[words[j][1] : words[j + 1][0]] in (" ", "-", ", ") and j - i < most - 1:
             if text[words[j][1] : words[j + 1][0]] == ", " and (j > i and ", " in text[words[i][0] : words[j][1]]):
                 break
             j += 1
@@ -362,6 +434,12 @@ def _names(text: str, grammar: NameGrammar, words_of_text: set[str]) -> list[tup
     return out
 
 
+def _in_url(text: str, at: int) -> bool:
+    """Whether a scheme's :// stands before, with neither a slash nor a blank between."""
+    slash = text.rfind("/", text.rfind("\n", 0, at) + 1, at)
+    return slash >= 2 and text[slash - 2 : slash] == ":/" and not any(c.isspace() for c in text[slash + 1 : at])
+
+
 def _alone(text: str, s: int, e: int) -> bool:
     """A sign-off: nothing else but a dash or tilde stands on the line."""
     begin, end = text.rfind("\n", 0, s) + 1, text.find("\n", e)
@@ -369,6 +447,46 @@ def _alone(text: str, s: int, e: int) -> bool:
     return bool(_SIGN.fullmatch(before)) and not after.strip(" \t\r.,!") and not after.strip().startswith(",")
 
 
+_SIGNS, _LINKING = re.compile(r"[^\w\n]*+"), re.compile(r"(?i)number|no|nr|is|ist|es|est|was|of|card|für mich|für")
+
+
+def _number_behind(t: str, b: int, end: int) -> tuple[int, int] | None:
+    """The number behind a label: with at most three linking words between."""
+    at = b
+    for _ in range(4):
+        at = _SIGNS.match(t, at, end).end()
+        if m := _IDNUM.match(t, at, end):
+            return m.span()
+        link = _LINKING.match(t, at, end)
+        if not link:
+            return None
+        at = link.end()
+    return None
+
+
+def _number_before(t: str, begin: int, a: int) -> tuple[int, int] | None:
+    """The number before a label, with a sign or words between that point back at it."""
+    own = next((len(w) for w in ("my ", "his ", "her ", "the ") if t[max(begin, a - 4) : a].lower().endswith(w)), 0)
+    for e in {a, a - own}:
+        k = e
+        while k > begin and t[k - 1].isspace():
+            k -= 1
+        low = t[max(begin, k - 5) : k].lower()
+        sign = next((x for x in ("is my", "--", "//", "/*", "as", "#", "(") if low.endswith(x)), None)
+        if sign:
+            k -= len(sign)
+            break
+    else:
+        return None
+    while k > begin and (t[k - 1].isspace() or t[k - 1] in "'\")];,"):
+        k -= 1
+    i, runs = k, 1  # the number's characters: at most five runs with single blanks between
+    while i > begin and (t[i - 1].isalnum() or t[i - 1] in "./-_" or (t[i - 1] == " " and runs < 6)):
+        runs += t[i - 1] == " "
+        i -= 1
+    return next((m.span() for m in _IDNUM.finditer(t, i, a) if m.end() == k), None)
+
+
 def detect(text: str | None, grammar: NameGrammar) -> list[tuple[str, int, int]]:
     """(kind, start, end) in the source text, in order."""
     if not text:
@@ -383,7 +501,7 @@ def detect(text: str | None, grammar: NameGrammar) -> list[tuple[str, int, int]]
         remote = {t.rfind("\n", 0, c.start()) + 1: c.end() for c in reversed(list(_REMOTE.finditer(t)))} if words & _REMOTE_WORDS else {}  # first command of each line
         for m in _emails(t):
             after = remote.get(t.rfind("\n", 0, m.start()) + 1) if remote else None
-            target = (after is not None and m.start() >= after) or re.match(r":[\w~/]", t[m.end() : m.end() + 2]) or re.search(r"://[^\s/]*$", t[max(0, m.start() - 300) : m.start()])
+            target = (after is not None and m.start() >= after) or re.match(r":[\w~/]", t[m.end() : m.end() + 2]) or _in_url(t, m.start())
             if not target:
                 found.append((0, "EMAIL", m.start(), m.end()))
     if _DIGIT.search(t):
@@ -394,24 +512,19 @@ def detect(text: str | None, grammar: NameGrammar) -> list[tuple[str, int, int]]
         for run in _NUMBER_RUN.finditer(t):
             written = run[0]
             fitting = [p for p, signs in zip(_PHONES, _PHONE_SIGNS) if any(c in written for c in signs)] if sum(map(str.isdigit, written)) >= 7 else []
-            for m in (m for p in fitting for m in p.finditer(t, max(0, run.start() - 2), min(len(t), run.end() + 24))):
+            end = max(_EXTENSION.match(t, run.end()).end(), min(len(t), run.end() + 1)) if fitting else 0
+            for m in (m for p in fitting for m in p.finditer(t, max(0, run.start() - 2), end)):
                 if 7 <= sum(c.isdigit() for c in re.sub(r"(?i)(?:ext|x|poste|durchwahl|interno).*", "", m[0])) <= 15:
                     found.append((2, "PHONE", m.start(), m.end()))
+        found += [(2, "PHONE", b, e) for b, e in r.spelled if 7 <= e - b <= 15 and t[b] == "0" and not (b and t[b - 1] == "+")]  # written as it is dialled
         labels = [m.span() for m in _LABEL.finditer(t)] if words & _LABEL_WORDS else []
         if labels:
             for a, b in labels:
                 begin, end = t.rfind("\n", 0, a) + 1, t.find("\n", b)
-                after = t[b : min(b + 40, end if end >= 0 else len(t))]
-                m = _IDNUM.search(after)
-                if m and re.fullmatch(r"(?i)\W*(?:(?:number|no|nr|is|ist|es|est|was|of|card|für|für mich|:|=|#)\W*){0,3}", after[: m.start()]):
-                    found.append((2, "IDNUM", b + m.start(), b + m.end()))
-                    continue
-                tail = t[max(begin, a - 48) : a]
-                back = list(_IDNUM.finditer(tail))
-                if back and re.fullmatch(r"[\s'\")\];,]*(?:--|#|//|/\*|\(|as|is my)\s*(?:my |his |her |the )?", tail[back[-1].end() :]):
-                    off = max(begin, a - 48)
-                    found.append((2, "IDNUM", off + back[-1].start(), off + back[-1].end()))
-    found += [(3, "NAME", s, e) for s, e in _names(t, grammar, words)]
+                m = _number_behind(t, b, end if end >= 0 else len(t)) or _number_before(t, begin, a)
+                if m:
+                    found.append((2, "IDNUM", *m))
+    found += [(3, "NAME", s, e) for s, e in (*_names(t, grammar, words), *_told(t, words))]
     found.sort(key=lambda x: (x[0], -(x[3] - x[2]), x[2]))
     free = Free()
     taken = [(kind, s, e) for _, kind, s, e in found if free.take(s, e)]

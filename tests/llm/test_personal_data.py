@@ -1,6 +1,9 @@
+import re
 import time
 
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 
 from cairnlog.llm import personal_data as pd_
 
@@ -90,3 +93,30 @@ def test_disguised_at_needs_no_other_word(address):
 @pytest.mark.parametrize("ends", ["()", '""', " ."])
 def test_short_spelled_runs_with_signs_at_their_ends(number, ends):
     assert pd_.rewrite(f"no.: {ends[0]}{number}{ends[1]}").text == f"no.: {ends[0]}{'1234567'[:len(number.split())]}{ends[1]}"
+
+
+@pytest.mark.parametrize("text,want", [
+    ("call zero three zero two three one two five three zero four today", [("PHONE", "zero three zero two three one two five three zero four")]),
+    ("zErO three ZERO two thRee one TWO", [("PHONE", "zErO three ZERO two thRee one TWO")]), ("\u017fix null null vier vier vier", []), ("SSN: one one one two two three three three three", [("IDNUM", "one one one two two three three three three")]),
+    ("mail " + "a" * 300 + " [at] inbox [dot] test", [("EMAIL", "a" * 300 + " [at] inbox [dot] test")]), ("b [at] " + "x [dot] " * 12 + "test now", [("EMAIL", "b [at] " + "x [dot] " * 12 + "test")]),
+    ("jane dot doe [at] inbox dot test", [("EMAIL", "jane dot doe [at] inbox dot test")]), ("a [at] inbox.test, b [at] other.test", [("EMAIL", "a [at] inbox.test"), ("EMAIL", "b [at] other.test")]),
+    ("https://" + "u" * 400 + "@host.test/x", []), ("+1 (555) 555-0199" + " " * 40 + "ext. 61", [("PHONE", "+1 (555) 555-0199" + " " * 40 + "ext. 61")]), ("555.555.0186 x12345678", [("PHONE", "555.555.0186")]),
+    ("SSN" + "." * 90 + " 929-24-7335", [("IDNUM", "929-24-7335")]), ("929-24-7335" + " " * 80 + "# my SSN", [("IDNUM", "929-24-7335")]), ("QQ 68 22 52 D is my NI number", [("IDNUM", "QQ 68 22 52 D")]), ("passport number is for XD39675970", []),
+    ("by " + " ".join(["Blarus", "Dimhal", "Rusgru", "Dovtan", "Gruzel", "Ethdov", "Haltan"]), [("NAME", "Blarus Dimhal Rusgru Dovtan Gruzel Ethdov Haltan")]),
+    ("Ask Dr. Hiroshi Tanaka about it", [("NAME", "Hiroshi Tanaka")]), ("Hello, my name is James K. Wilson.", [("NAME", "James K. Wilson")]), ("It works.\nKind regards,\n-- Amara Okafor", [("NAME", "Amara Okafor")]), ("Thanks,\nthe team", []),
+])
+def test_no_limit_or_guard_loses_a_case(text, want):
+    assert found(text) == want
+
+
+_PIECES = ["zero", "One", "oNe", "six", "null", "five five", "dot", "DOT", "at", "AT", "[at]", "(dot)", "@", ".", "-", "a", "jane", "org", "<aRobase>", "1", "x_y", "\n", "ſix", "Dot", "[", "]"]
+
+
+@given(st.lists(st.tuples(st.sampled_from(_PIECES), st.sampled_from([" ", "", "  ", "-", "\t"])), max_size=24))
+def test_guards_lose_nothing(parts):
+    text = "".join(a + b for a, b in parts)
+    bare = pd_.Rewritten(text)
+    bare.replace(pd_._characters(text))
+    bare.replace([(m.start(), m.end(), "".join(pd_._DIGIT_WORDS[pd_._small(w)] for w in re.split(r"[ -]+", m[0]))) for m in pd_._SPELLED.finditer(bare.text)])
+    bare.replace(pd_._disguises(bare.text))
+    assert pd_.rewrite(text).text == bare.text
