@@ -28,7 +28,7 @@ _P3 = (("stored_templates", "count"), ("log_clusters", "size"))
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = [kp.keyed_profile(table(spark, sf_dir, t), "id", v).filter("k is not null and share >= 0.02").select(F.lit(t).alias("tbl"), F.col("k").cast("int").alias("id")) for t, v in _P3]
+    parts = [kp.heavy_keys(table(spark, sf_dir, t), "id", "0.02").select(F.lit(t).alias("tbl"), F.col("k").cast("int").alias("id")) for t, _ in _P3]
     return parts[0].unionByName(parts[1])
 
 
