@@ -19,10 +19,8 @@ from pyspark.sql.window import Window as W
 
 from cairnlog.session import broadcast_if_small, small, stage
 
-#: Characters in which a header ends; layouts in which fields may stand anywhere (json, logfmt) are read whole.
-HEAD = 4096
-#: Lines of a log that one window partition holds at most.
-BLOCK = 65536
+#: Lines of a log that one window partition holds at most, and lines of an entry that one row of its message holds.
+BLOCK, PART = 65536, 1024
 
 _ZONE = r"(?: ?(?:Z|[+-]\d{2}:?\d{2}|UTC|GMT|[A-Z]{1,3}[SD]?T))?"
 _CLOCK = r"\d{1,2}:\d{2}(?::\d{2}(?:[.,]\d{1,9})?)?"
@@ -43,13 +41,13 @@ _SYSTIME = rf"(?:{_MON} [ \d]\d \d{{2}}:\d{{2}}:\d{{2}}(?:\.\d+)?|{_NIL})"
 #: name, expression, groups of (time, level, component, message); 0: the layout has none, -1: read as priority.
 LAYOUTS: list[tuple[str, str, int, int, int, int]] = [
     ("unix", rf"^({TIME}) +([^\s\[]+)\[\d+(?::\d+)?\] <{_LEVEL}> (.*)$", 1, 3, 2, 4),
-    ("bar", rf"^({TIME}) +\| +{_LEVEL}\| +([^|]*?) *\| ?(.*)$", 1, 2, 3, 4),
+    ("bar", rf"^({TIME}) +\| +{_LEVEL}\| ([^|]*+)\| ?(.*)$", 1, 2, 3, 4),
     ("dash", rf"^({TIME}) - \[{_LEVEL}\] - \S+ (\S+?):\d+ (.*)$", 1, 2, 3, 4),
     ("bracket", rf"^({TIME}) +{_LEVEL} *\[([^\]]+)\] (.*)$", 1, 2, 3, 4),
     ("at", rf"^(\S+) @ ({TIME}) \({_LEVEL}\) (.*)$", 2, 3, 1, 4),
     ("pool", rf"^\[[^\]]+\] {_LEVEL} ({TIME}) (\S+) - (.*)$", 2, 1, 3, 4),
     ("glog", r"^([A-Z])(\d{4} \d{2}:\d{2}:\d{2}\.\d+) +\d+ (\S+?):\d+\] ?(.*)$", 2, 1, 3, 4),
-    ("threadtime", r"^(\d{2}-\d{2} \d{2}:\d{2}:\d{2}\.\d{3}) +\d+ +\d+ ([A-Z]) (.*?) *: (.*)$", 1, 2, 3, 4),
+    ("threadtime", r"^(\d{2}-\d{2} \d{2}:\d{2}:\d{2}\.\d{3}) +\d+ +\d+ ([A-Z]) (.*?): (.*)$", 1, 2, 3, 4),
     ("rfc5424", r"^<(\d{1,3})>\d{1,2} (\S+) \S+ (\S+) \S+ \S+ ?(?:(?:-|(?:\[(?:[^\]\\]|\\.)*+\])++) ?)?(.*)$", 2, -1, 3, 4),
     ("syslog_pri", rf"^<(\d{{1,3}})>({_SYSTIME}) \S+ ([^\s\[:]+)(?:\[\d+\])?: ?(.*)$", 2, -1, 3, 4),
     ("syslog", rf"^({_SYSTIME}) \S+ ([^\s\[:]+)(?:\[\d+\])?: ?(.*)$", 1, 0, 2, 3),
@@ -98,9 +96,8 @@ def _pair(line: Column, keys: tuple[str, ...]) -> Column:
 def layout_of(line: Column) -> Column:
     """The name of the first layout in the cascade that the line is written in, or null."""
     c: Column | None = None
-    head = F.substring(line, 1, HEAD)
     for name, pattern, *_ in LAYOUTS:
-        cond = (line if name == "logfmt" else head).rlike(pattern)
+        cond = line.rlike(pattern)
         if name == "json":
             j = _json(line)
             cond = line.startswith("{") & F.rtrim(line).endswith("}") & F.coalesce(*[j[k] for k in (*_LEVEL_KEYS, *_COMPONENT_KEYS)]).isNotNull() & F.coalesce(*[j[k] for k in _MESSAGE_KEYS]).isNotNull()
@@ -134,20 +131,24 @@ def starts(lines: DataFrame) -> DataFrame:
     return at.select("case_id", "line_no", "layout", level.alias("level"), component.alias("component"), F.trim(_part(line, layout, 0)).alias("time"))
 
 
-def foreign_layouts(at: DataFrame, keep: int = 2) -> DataFrame:
-    """(case_id, layout) of the layouts beyond a log's most frequent ones: lines in them are payload."""
+def foreign_layouts(at: DataFrame, keep: int) -> DataFrame:
+    """(case_id, layout) of the layouts beyond a log's `keep` most frequent ones: lines in them are payload."""
     rank = {name: i for i, (name, *_) in enumerate(LAYOUTS)}
     order = F.create_map(*[F.lit(x) for kv in rank.items() for x in kv])[F.col("layout")]
     counts = at.groupBy("case_id", "layout").agg(F.count("*").alias("n")).withColumn("order", order)
     return counts.withColumn("place", F.row_number().over(W.partitionBy("case_id").orderBy(F.desc("n"), "order"))).filter(F.col("place") > keep).select("case_id", "layout")
 
 
-def entries(lines: DataFrame, block: int = BLOCK) -> DataFrame:
-    """lines (case_id, line_no, line) -> (case_id, first_line, last_line, time, level, component, layout)."""
+def entries(lines: DataFrame, block: int = BLOCK, layouts: int | None = 2) -> DataFrame:
+    """lines (case_id, line_no, line) -> (case_id, first_line, last_line, time, level, component, layout).
+
+    layouts: how many a log may have, its most frequent ones; None: any number, every line written in one starts
+    an entry.
+    """
     lines = lines.select(F.col("case_id").cast("string").alias("case_id"), F.col("line_no").cast("long").alias("line_no"), F.col("line").cast("string").alias("line")).filter("case_id is not null and line_no is not null")
     at = stage(starts(lines), "entry-starts")
-    foreign = stage(foreign_layouts(at), "foreign-layouts")
-    if not foreign.isEmpty():
+    foreign = None if layouts is None else stage(foreign_layouts(at, layouts), "foreign-layouts")
+    if foreign is not None and not foreign.isEmpty():
         at = at.join(broadcast_if_small(foreign), ["case_id", "layout"], "left_anti")
     blk = F.floor(F.col("line_no") / block).alias("block")
     within = W.partitionBy("case_id", "block").orderBy("line_no")
@@ -160,9 +161,12 @@ def entries(lines: DataFrame, block: int = BLOCK) -> DataFrame:
     return at.select("case_id", F.col("line_no").alias("first_line"), last.alias("last_line"), "time", "level", "component", "layout")
 
 
-def with_messages(lines: DataFrame, found: DataFrame, block: int = BLOCK) -> DataFrame:
+def with_messages(lines: DataFrame, found: DataFrame, block: int = BLOCK, part: int = PART) -> DataFrame:
     """Entries with their message: the header's rest and, after line feeds, the continuation lines.
 
+    A row holds at most `part` lines of an entry: longer ones have several, numbered by `part` from 0; joined by
+    line feeds in that order they are the whole message.
+
     Each line finds its entry by carrying the last start along its block, and over the block's edge from the
     blocks before; only then are the lines of one entry gathered.
     """
@@ -179,6 +183,6 @@ def with_messages(lines: DataFrame, found: DataFrame, block: int = BLOCK) -> Dat
     text = text.withColumn("own", F.last(start, ignorenulls=True).over(within)).join(held.select("case_id", "block", "carry"), ["case_id", "block"])
     body = F.when(F.col("layout").isNotNull(), _part(F.col("line"), F.col("layout"), 3)).otherwise(F.col("line"))
     text = text.select("case_id", F.coalesce("own", "carry").alias("first_line"), "line_no", body.alias("body")).filter("first_line is not null")
-    joined = text.groupBy("case_id", "first_line").agg(F.array_sort(F.collect_list(F.struct("line_no", "body"))).alias("b"))
-    joined = joined.select("case_id", "first_line", F.array_join(F.transform("b", lambda x: x["body"]), "\n").alias("message"))
+    joined = text.withColumn("part", F.floor((F.col("line_no") - F.col("first_line")) / part).cast("int")).groupBy("case_id", "first_line", "part").agg(F.array_sort(F.collect_list(F.struct("line_no", "body"))).alias("b"))
+    joined = joined.select("case_id", "first_line", "part", F.array_join(F.transform("b", lambda x: x["body"]), "\n").alias("message"))
     return found.join(joined, ["case_id", "first_line"])

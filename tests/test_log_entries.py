@@ -78,3 +78,28 @@ def test_long_logfmt_takes_no_long_time(spark, line):
     start = time.perf_counter()
     le.entries(df).collect()
     assert time.perf_counter() - start < 20
+
+
+@pytest.mark.parametrize("line,level,component", [
+    ("<131>1 - h " + "c" * 9000 + " 8338 ID38 - x", "ERROR", "c" * 9000), ("2025-07-30 19:30:34.647 | W | " + "b" * 6000 + "      | x", "WARN", "b" * 6000), ("<31>1 - h " + "a" * 5000 + " 1 I [a b=\"" + "\\]" * 9000 + "\"] msg", "DEBUG", "a" * 5000),
+    ("02-16 22:44:49.294  8413  8422 V " + "t" * 7000 + "   : x", "TRACE", "t" * 7000), ("2024-03-01 00:00:03 INFO [" + "m" * 20_000 + "] x", "INFO", "m" * 20_000),
+])
+def test_headers_of_any_length(spark, line, level, component):
+    assert found(spark, [("c", 1, line)]) == {("c", 1, 1, level, component)}
+
+
+@pytest.mark.parametrize("line", ["2025-07-30 19:30:34.647 | W | " + " " * 800_000, "02-16 22:44:49.294  8413  8422 V " + " :" * 400_000, "2024-03-01 00:00:03" + " " * 800_000 + "|", "a" * 800_000 + " @", "[" + "a" * 800_000 + "]", "2024-03-01 - [W] - a " + ":1" * 400_000, "<31>1 - h a 1 I " + "[" * 800_000, "<31>1 - h a 1 I " + "[]" * 400_000])
+def test_long_headers_take_no_long_time(spark, line):
+    df = spark.createDataFrame([("c", 1, line)], "case_id string, line_no long, line string")
+    start = time.perf_counter()
+    le.entries(df).collect()
+    assert time.perf_counter() - start < 20
+
+
+def test_long_entries_come_in_parts_and_layouts_may_be_unlimited(spark):
+    lines = [("c", 1, H), *[("c", n, str(n)) for n in range(2, 12)], ("c", 12, "<31>Dec 30 14:51:47 h p[1]: y"), ("c", 13, "2025-07-30 19:30:34.647 | D | p | z")]
+    df = spark.createDataFrame(lines, "case_id string, line_no long, line string")
+    all_of = le.entries(df, layouts=None)
+    assert sorted(r.first_line for r in all_of.collect()) == [1, 12, 13] and sorted(r.first_line for r in le.entries(df, layouts=1).collect()) == [13]
+    got = le.with_messages(df, all_of, part=4).filter("first_line = 1").orderBy("part").collect()
+    assert [r.part for r in got] == [0, 1, 2] and "\n".join(r.message for r in got) == "\n".join(["x", *map(str, range(2, 12))])
