@@ -7,8 +7,8 @@ from functools import lru_cache
 
 import numpy as np
 
-#: A longer text is no time stamp.
-MAX_LEN = 48
+#: A longer text is no time stamp: no grammar below accepts as many characters.
+MAX_LEN = 64
 
 # Month names (English, German and other short forms in use), weekday names, zone abbreviations (minutes east of UTC).
 MONTHS = {"jan": 1, "feb": 2, "mar": 3, "mär": 3, "mrz": 3, "apr": 4, "may": 5, "mai": 5, "jun": 6, "jul": 7, "aug": 8, "sep": 9, "oct": 10, "okt": 10, "nov": 11, "dec": 12, "dez": 12}

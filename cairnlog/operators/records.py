@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from cairnlog.operators.ordered import BLOCK, carry, running_sum
 
@@ -22,11 +23,18 @@ def record_state(lines: DataFrame, part: list[str], order: str = "line_no", bloc
     return df.select("*", F.when(F.col("_count") > 0, F.col("_count") - 1).alias("record_id"), F.col("_owner.line").alias("owner_line"), F.col("_owner.ms").alias("owner_ms"), provenance.alias("provenance")).drop("_mark", "_owner", "_one", "_count")
 
 
-def records(state: DataFrame, part: list[str], order: str = "line_no", text: str = "text") -> DataFrame:
-    """One row per record: lines it spans, its time, and its text joined by line feeds."""
+def records(state: DataFrame, part: list[str], order: str = "line_no", text: str = "text", piece: int | None = None) -> DataFrame:
+    """One row per record: lines it spans, its time, and its text joined by line feeds.
+
+    piece: a row holds so many lines at most, counted from the record's first; a longer record has several rows,
+    which first_line tells apart, so a log with one header is never one row.
+    """
     owned = state.filter("record_id is not null")
+    if piece is not None:
+        owned = owned.withColumn("_piece", F.floor((F.col(order) - F.col("owner_line")) / piece))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, text))), lambda x: x[text]), "\n")
-    return owned.groupBy(*part, "record_id").agg(F.min(order).alias("first_line"), F.max(order).alias("last_line"), F.count("*").alias("n_lines"), F.max("owner_ms").alias("ts_ms"), joined.alias("message"))
+    keys = [*part, "record_id", *(["_piece"] if piece is not None else [])]
+    return owned.groupBy(*keys).agg(F.min(order).alias("first_line"), F.max(order).alias("last_line"), F.count("*").alias("n_lines"), F.max("owner_ms").alias("ts_ms"), joined.alias("message")).drop("_piece")
 
 
 def count_records(state: DataFrame, part: list[str], lo: int, hi: int, order: str = "line_no") -> DataFrame:
@@ -39,6 +47,12 @@ def match_rate(state: DataFrame, part: list[str]) -> DataFrame:
 
 
 def invalid_times(state: DataFrame, part: list[str], order: str = "line_no", shown: int = 64) -> DataFrame:
-    """Headers with an impossible time: how many, and the first `shown` of their lines."""
-    bad = state.filter("provenance = 'invalid'")
-    return bad.groupBy(*part).agg(F.count("*").alias("invalid"), F.slice(F.array_sort(F.collect_list(order)), 1, shown).alias("first_lines"))
+    """Headers with an impossible time: how many, and the first `shown` of their lines.
+
+    The first lines are found per block of lines before they meet, so no log's headers are gathered.
+    """
+    bad = state.filter("provenance = 'invalid'").select(*part, F.col(order).alias("_o"), F.floor(F.col(order) / BLOCK).alias("_b"))
+    counts = bad.groupBy(*part).agg(F.count("*").alias("invalid"))
+    first = bad.withColumn("_r", F.row_number().over(W.partitionBy(*part, "_b").orderBy("_o"))).filter(F.col("_r") <= shown)
+    first = first.withColumn("_r", F.row_number().over(W.partitionBy(*part).orderBy("_o"))).filter(F.col("_r") <= shown)
+    return counts.join(first.groupBy(*part).agg(F.array_sort(F.collect_list("_o")).alias("first_lines")), part)

@@ -23,9 +23,13 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from cairnlog.session import broadcast_if_small, stage
 
+#: Value shapes in the sketch of a name: its commonest ones.
+SKETCH = 256
+
 
 @dataclass(frozen=True)
 class Layout:
@@ -68,7 +72,7 @@ def value_shape(v: object) -> str:
     if t in ("integer", "number"):
         return f"{t}:{min(18, int(math.log10(abs(v) + 1)))}" if math.isfinite(v) else t
     if t == "string":
-        mask = re.sub(r"[a-z]+", "a", re.sub(r"[A-Z]+", "A", re.sub(r"\d+", "9", v[:64])))
+        mask = re.sub(r"[a-z]+", "a", re.sub(r"[A-Z]+", "A", re.sub(r"\d+", "9", v)))
         return f"string:{mask[:8]}"
     if t == "array":
         return f"array:{json_type(v[0]) if v else ''}"
@@ -125,11 +129,11 @@ def name_similarity(a: str, b: str) -> float:
     x, y = name_tokens(a), name_tokens(b)
     if x == y:
         return 1.0
-    if max(len(a), len(b)) > 256:
-        return 0.0
     shared = len(set(x) & set(y))
     words = shared / max(1, min(len(set(x)), len(set(y)))) * 0.9 if shared else 0.0
-    return max(words, SequenceMatcher(None, "".join(x), "".join(y)).ratio() * 0.6)
+    characters = SequenceMatcher(None, "".join(x), "".join(y))
+    # beyond 256 characters the order of the characters is left out of account: linear time
+    return max(words, (characters.ratio() if max(len(a), len(b)) <= 256 else characters.quick_ratio()) * 0.6)
 
 
 def sketch_similarity(a: dict[str, float], b: dict[str, float]) -> float:
@@ -229,6 +233,7 @@ def version_mapping(facts: DataFrame, layout: Layout = CURRENT) -> DataFrame:
     profile = (
         facts.select("scope", F.explode("fields").alias("f"))
         .groupBy("scope", "f.name", "f.shape").agg(F.count("*").alias("n"))
+        .withColumn("place", F.row_number().over(W.partitionBy("scope", "name").orderBy(F.desc("n"), "shape"))).filter(F.col("place") <= SKETCH)
         .groupBy("scope", "name").agg(F.collect_list(F.struct("shape", "n")).alias("sketch"))
     )
     versions = facts.groupBy("scope", "sig").agg(F.first(F.col("fields.name")).alias("names"))
@@ -292,7 +297,7 @@ def _int(v: object) -> int | None:
         return int(v) if math.isfinite(v) else None
     if isinstance(v, str):
         m = re.search(r"-?\d+", v)
-        return int(m[0]) if m and len(m[0]) < 19 else None
+        return int(m[0]) if m and len(m[0]) < 21 and -(2**63) <= int(m[0]) < 2**63 else None
     if isinstance(v, dict):
         return next((_int(v[k]) for k in ("id", "major", "value") if k in v), None)
     return _int(v[0]) if isinstance(v, list) and v else None

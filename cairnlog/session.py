@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -14,10 +15,12 @@ BROADCAST_LIMIT = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a local one where that is unset."""
+    """The folder all executors share: spark.checkpoint.dir, or a local one where that is unset and all run in one process."""
     path = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if path:
         return path.rstrip("/")
+    if not re.fullmatch(r"local(\[[^,\]]*(,[^\]]*)?\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     global _LOCAL
     if _LOCAL is None:
         _LOCAL = tempfile.mkdtemp(prefix="cairnlog-")

@@ -162,6 +162,57 @@ def test_miner_leaf_by_leaf_equals_one_pass(spark, monkeypatch, few):
         assert [r.template_id for r in got.orderBy("line_no").collect()] == want
 
 
+def mined_by_hand(texts, children):
+    """Template ids by the plain rules, written apart from the miner: a dict of paths, a list of templates per path."""
+    below, leaves, ids, out = {(): set()}, {}, 0, []
+    for text in texts:
+        words = text.split()
+        if not words:
+            out.append(0)
+            continue
+        path, full = (), False
+        for depth, step in enumerate([f"#{len(words)}", words[0], words[1] if len(words) > 1 else "*"]):
+            known = below.setdefault(path, set())
+            if step not in known and step != "*" and len(known) >= children:
+                step, full = "*", full or depth > 0
+            known.add(step)
+            path += (step,)
+        group = leaves.setdefault(path, [])
+        ranked = []
+        for place, (_, pattern) in enumerate(group):
+            if len(pattern) == len(words):
+                points = sum(2 if p == w else 1 if p == "<*>" else 0 for p, w in zip(pattern, words)) / (2 * len(words))
+                if not (pattern.count("<*>") > 0.7 * len(pattern) and points < 0.8):
+                    ranked.append((-points, place))
+        if ranked and (full or -min(ranked)[0] >= 0.5):
+            number, pattern = group[min(ranked)[1]]
+            pattern[:] = [p if p == w else "<*>" for p, w in zip(pattern, words)]
+        else:
+            ids += 1
+            number = ids
+            group.append((ids, words))
+        out.append(number)
+    return out
+
+
+@pytest.mark.parametrize("seed,vocabulary,longest", [(1, "abcd", 4), (2, "ab<", 8), (3, "abcdefghij", 3)])
+def test_miner_equals_the_plain_rules(spark, seed, vocabulary, longest):
+    rnd = random.Random(seed)
+    texts = [" ".join("<*>" if (c := rnd.choice(vocabulary)) == "<" else c for _ in range(rnd.choice([0, 1, 2, longest, longest]))) for _ in range(300)]
+    for children in (2, 5, 100):
+        got, templates = drain.mine(spark.createDataFrame(list(enumerate(texts)), "line_no long, content string"), drain.MinerConfig(children=children))
+        want = mined_by_hand(texts, children)
+        assert [r.template_id for r in got.orderBy("line_no").collect()] == want and drain.mine_sequential(texts, drain.MinerConfig(children=children)) == want
+        assert {r.template_id: r.n for r in templates.collect()} == {t: want.count(t) for t in set(want)}
+
+
+def test_miner_guards_templates_of_wildcards_in_overflow_leaves(spark):
+    texts = ["x y " + " ".join(f"{i}{j}" for j in range(8)) for i in "abc"]
+    config = drain.MinerConfig(children=1)
+    got = drain.mine(spark.createDataFrame(list(enumerate(["z z " + " ".join("q" * 8), *texts])), "line_no long, content string"), config)[0]
+    assert [r.template_id for r in got.orderBy("line_no").collect()] == mined_by_hand(["z z " + " ".join("q" * 8), *texts], 1)
+
+
 def test_miner_merges_and_continues(spark):
     df = spark.createDataFrame([(0, "INFO request from alice to bob"), (1, "INFO request from charlie to dave"), (2, "")], "line_no long, content string")
     lines, templates = drain.mine(df)
