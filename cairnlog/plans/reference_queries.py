@@ -22,9 +22,8 @@ ORACLE: dict[str, str] = {}
 _L = """L AS (SELECT row_number() OVER (ORDER BY event_id) - 1 AS line_no, epoch_us(ts) // 1000 AS ts_ms, event_type,
   strftime(ts, '%Y-%m-%dT%H:%M:%S.%g') || 'Z ' || CASE WHEN event_type = 'error' THEN 'ERROR' ELSE 'INFO' END || ' user=' || user_id
   || ' action=' || event_type || ' value=' || CAST(round(value * 100) AS BIGINT) || ' props=' || props AS text, user_id, value FROM events)"""
-_TEMPLATE_IDS = {"click": 1, "error": 2, "purchase": 3, "signup": 4, "view": 5}
-_CASE = "CASE event_type " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in _TEMPLATE_IDS.items()) + " END"
-_T = f"{_L}, T AS (SELECT *, {_CASE} AS template_id FROM L)"
+# The messages of the events, action first, have one template per action; ids are in order of first appearance.
+_T = f"{_L}, I AS (SELECT event_type, CAST(row_number() OVER (ORDER BY min(line_no)) AS INT) AS template_id FROM L GROUP BY 1), T AS (SELECT L.*, template_id FROM L JOIN I USING (event_type))"
 
 
 def query(sql: str | None = None):
@@ -41,10 +40,21 @@ def _lines(spark: SparkSession, d: str, *extra: str) -> DataFrame:
     return event_lines(spark, d, *extra)
 
 
+_MINED_MESSAGES: dict[tuple[str, str], tuple[DataFrame, DataFrame]] = {}
+
+
+def _mined_messages(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(line_no, template_id) and templates, mined from the events' messages written action first; mined once a session."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _MINED_MESSAGES:
+        said = F.regexp_replace("text", r"^\S+ \S+ (user=\S+) action=(\S+) ", "$2 $1 ")
+        _MINED_MESSAGES[key] = drain.mine(masking.masked(_lines(spark, d).select("line_no", said.alias("content")), "content"))
+    return _MINED_MESSAGES[key]
+
+
 def _typed(spark: SparkSession, d: str) -> DataFrame:
-    """Event lines with a template id of their action."""
-    ids = F.create_map(*[F.lit(x) for kv in _TEMPLATE_IDS.items() for x in kv])
-    return _lines(spark, d, "event_type").withColumn("template_id", ids[F.col("event_type")])
+    """Event lines with the template that the miner found for their message."""
+    return _lines(spark, d, "event_type").join(_mined_messages(spark, d)[0], "line_no")
 
 
 # --- sources
@@ -301,27 +311,28 @@ def top_templates(spark, d):
     return analytics.top_templates(_typed(spark, d))
 
 
-_PATTERNS = [(0, "<EMPTY>"), *[(v, f"action={k}") for k, v in _TEMPLATE_IDS.items()], (6, "never seen, fatal")]
-_P = "P AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{p}')" for i, p in _PATTERNS) + ") v(template_id, pattern))"
+_P = """P AS (SELECT template_id, event_type || ' user=<NUM> value=<NUM> props={"k": <NUM>}' AS pattern FROM I UNION ALL SELECT 0, '<EMPTY>' UNION ALL SELECT 99, 'never seen, fatal')"""
 
 
-def _patterns(spark):
-    return spark.createDataFrame(_PATTERNS, "template_id int, pattern string")
+def _patterns(spark: SparkSession, d: str) -> DataFrame:
+    """The mined templates, the one of blank lines and one that no line has."""
+    more = spark.createDataFrame([(0, "<EMPTY>"), (99, "never seen, fatal")], "template_id int, pattern string")
+    return _mined_messages(spark, d)[1].select("template_id", "pattern").unionByName(more)
 
 
 @query(f"WITH {_T}, {_P} SELECT P.template_id, pattern, count(T.line_no) AS seen FROM P LEFT JOIN T USING (template_id) GROUP BY 1, 2")
 def template_dictionary(spark, d):
-    return analytics.template_dictionary(_patterns(spark), _typed(spark, d))
+    return analytics.template_dictionary(_patterns(spark, d), _typed(spark, d))
 
 
 @query(f"WITH {_T}, {_P} SELECT template_id, pattern, count(*) AS n FROM P JOIN T USING (template_id) WHERE contains(lower(pattern), 'error') OR contains(lower(pattern), 'fatal') GROUP BY 1, 2")
 def error_templates(spark, d):
-    return analytics.error_templates(_patterns(spark), _typed(spark, d))
+    return analytics.error_templates(_patterns(spark, d), _typed(spark, d))
 
 
-@query(f"WITH {_T}, {_P} SELECT template_id, pattern, count(*) AS n, min(line_no) AS first_line, max(line_no) AS last_line FROM P JOIN T USING (template_id) WHERE contains(pattern, 'action') GROUP BY 1, 2")
+@query(f"WITH {_T}, {_P} SELECT template_id, pattern, count(*) AS n, min(line_no) AS first_line, max(line_no) AS last_line FROM P JOIN T USING (template_id) WHERE contains(pattern, 'i') GROUP BY 1, 2")
 def template_browser(spark, d):
-    return analytics.template_browser(_patterns(spark), _typed(spark, d), "action")
+    return analytics.template_browser(_patterns(spark, d), _typed(spark, d), "i")
 
 
 _VALUES = f"{_L}, T AS (SELECT line_no, ts_ms, CAST(round(value * 100) AS BIGINT) // 10 AS template_id FROM L)"
@@ -465,23 +476,35 @@ def _mined(spark, d):
     return drain.mine(content)
 
 
-@query(f"""WITH {_L}, B AS (SELECT event_type, count(*) AS n, min(line_no) AS example_line FROM L WHERE event_type = 'error' GROUP BY 1
- UNION ALL SELECT 'other', count(*), min(line_no) FROM L WHERE event_type <> 'error')
- SELECT n, example_line FROM B""")
+_B = """K AS (SELECT *, event_type = 'error' AS bad FROM L), B AS (SELECT bad, CAST(row_number() OVER (ORDER BY min(line_no)) AS INT) AS template_id,
+ CASE WHEN bad THEN 'ERROR' ELSE 'INFO' END || ' user=<NUM> ' || CASE WHEN count(DISTINCT event_type) > 1 THEN '<*>' ELSE 'action=' || any_value(event_type) END || ' value=<NUM> props={"k": <NUM>}' AS pattern,
+ count(*) AS n, min(line_no) AS example_line FROM K GROUP BY bad)"""
+
+
+@query(f"WITH {_L}, {_B} SELECT template_id, pattern, n, example_line FROM B")
 def templates(spark, d):
-    return _mined(spark, d)[1].select("n", "example_line")
+    return _mined(spark, d)[1].select("template_id", "pattern", "n", "example_line")
 
 
-@query()
+@query(f"WITH {_T} SELECT template_id, event_type || ' user=<NUM> value=<NUM> props={{\"k\": <NUM>}}' AS pattern, count(*) AS n, min(line_no) AS example_line FROM T GROUP BY template_id, event_type")
 def template_patterns(spark, d):
-    return _mined(spark, d)[1]
+    return _mined_messages(spark, d)[1].select("template_id", "pattern", "n", "example_line")
 
 
-@query()
+@query(f"WITH {_L}, {_B} SELECT line_no, template_id FROM K JOIN B USING (bad)")
 def template_lines(spark, d):
     return _mined(spark, d)[0]
 
 
+@query("""WITH W AS (SELECT p_partkey, lower(p_type) AS a, replace(p_name, ' ', '_') AS w FROM part), G AS (SELECT a, count(*) AS n, min(p_partkey) AS example_line, count(DISTINCT w) AS c, any_value(w) AS w FROM W GROUP BY a)
+ SELECT CAST(row_number() OVER (ORDER BY example_line) AS INT) AS template_id, a || ' of brand#<NUM> ' || CASE WHEN c > 1 THEN '<*>' ELSE w END || ' costs size <NUM>' AS pattern, n, example_line FROM G""")
+def templates_of_parts(spark, d):
+    """Templates of a log that the parts write, one line each: a template per type, names are wildcards."""
+    said = F.expr("concat_ws(' ', lower(p_type), 'of', lower(p_brand), replace(p_name, ' ', '_'), 'costs', 'size', cast(p_size as string))")
+    lines = table(spark, d, "part").select(F.col("p_partkey").alias("line_no"), said.alias("content"))
+    return drain.mine(masking.masked(lines, "content"))[1].select("template_id", "pattern", "n", "example_line")
+
+
 # --- fields
 
 _FIELDS = {"user": r"user=(\d+)", "action": r"action=(\w+)", "value": r"value=(-?\d+)", "k": r"\"k\": (\d+)"}
@@ -503,8 +526,9 @@ _fielded("field_text", "action = Click", "event_type = 'click'", False)
 _fielded("field_not_equal", "action != view", "event_type <> 'view'")
 _fielded("field_contains", "action contains ur", "contains(event_type, 'ur')")
 _fielded("field_matches", r"action matches ^(view|sign)", "regexp_matches(event_type, '^(view|sign)')")
-_fielded("field_exists", "k exists", "regexp_matches(text, '\"k\": [0-9]+')")
-_fielded("field_missing", "k missing", "NOT regexp_matches(text, '\"k\": [0-9]+')")
+_FIELDS["bought"], _SCHEMA["bought"] = r"action=(purchase)", "token"  # a field that only some lines have
+_fielded("field_exists", "bought exists", "event_type = 'purchase'")
+_fielded("field_missing", "bought missing", "event_type <> 'purchase'")
 
 
 @query(f"WITH {_L} SELECT event_type AS value, count(*) AS n FROM L WHERE starts_with(event_type, 'p') OR starts_with(event_type, 's') GROUP BY 1 ORDER BY n DESC, 1 LIMIT 50")
