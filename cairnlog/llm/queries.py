@@ -74,6 +74,16 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(p8_mix(spark, sf_dir), table(spark, sf_dir, "source_targets"))
 
 
+def p8_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of p8_mix per source with a target: no text used more often than allowed; none from elsewhere."""
+    docs, targets = table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_targets")
+    mix = stage(p8_mix(spark, sf_dir), "mix")
+    uses = mix.groupBy("source", "doc_id").agg(F.count("*").alias("uses")).groupBy("source").agg(F.max("uses").alias("most"))
+    known = docs.select("doc_id", F.col("source").alias("own")).distinct()
+    strange = mix.join(known, "doc_id", "left").groupBy("source").agg(F.count_if(~F.col("own").eqNullSafe(F.col("source"))).alias("strange"))
+    return targets.join(uses, "source", "left").join(strange, "source", "left").select("source", (F.coalesce("most", F.lit(0)) > F.col("max_repeats")).alias("over_cap"), F.coalesce("strange", F.lit(0)).alias("of_other_sources"))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data.find_personal_data(table(spark, sf_dir, "documents"), table(spark, sf_dir, "name_parts"))
 
@@ -82,7 +92,7 @@ def p9_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data.redact(table(spark, sf_dir, "documents"), table(spark, sf_dir, "name_parts"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_collapsed, p6_found, p6_supports, p7_pack, p7_report, p7_invariants, p7_tight, p8_mix, p8_shares, p9_found, p9_redacted)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_collapsed, p6_found, p6_supports, p7_pack, p7_report, p7_invariants, p7_tight, p8_mix, p8_shares, p8_invariants, p9_found, p9_redacted)}
 
 _CATALOG = r"""
 forms AS (SELECT template_id, array_to_string(list_filter(list_transform(regexp_split_to_array(lower(regexp_replace(trim(pattern), '<[^<>\s]*>', chr(1), 'g')), '\s+'),
@@ -115,6 +125,7 @@ h{n} AS (SELECT p, count(DISTINCT f) AS support FROM g{n} GROUP BY p HAVING coun
 _PATTERNS = "(" + " UNION ALL ".join(f"SELECT array_to_string(p, '-') AS pattern, support FROM h{n}" for n in (3, 4, 5)) + ")"
 
 ORACLE = {
+    "p8_invariants": "SELECT source, false AS over_cap, CAST(0 AS BIGINT) AS of_other_sources FROM source_targets",
     "p6_found": f"WITH {_STEPS} SELECT pattern FROM {_PATTERNS}",
     "p6_supports": f"WITH {_STEPS} SELECT pattern, support FROM {_PATTERNS}",
     "p7_invariants": "SELECT count(DISTINCT doc_id) AS docs, CAST(0 AS BIGINT) AS not_whole, CAST(0 AS BIGINT) AS cut_needlessly, CAST(0 AS BIGINT) AS too_full, CAST(0 AS BIGINT) AS above_bound FROM documents",
