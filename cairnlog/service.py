@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json
+import os
 import sys
 from collections import OrderedDict
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any, TextIO
 
@@ -15,7 +17,8 @@ from pyspark.sql import functions as F
 from cairnlog.functions import families, masking
 from cairnlog.jobs import Job, StageTimes
 from cairnlog.operators import analytics, drain, fieldquery, filters, formats, profiles, records, select
-from cairnlog.sources.lines import read_lines
+from cairnlog.session import stage
+from cairnlog.sources.lines import FileState, file_change, file_state, last_line_start, read_lines, read_range
 
 LINE_BYTES, PAGE, CACHED = 1000, 2000, 128
 
@@ -31,7 +34,14 @@ class Document:
     total: int
     filters: filters.FilterSet = field(default_factory=filters.FilterSet)
     pins: list[dict] = field(default_factory=list)
-    trimmed: tuple[int, int] | None = None
+    trimmed: tuple[int, int | None] | None = None
+    path: str | None = None
+    state: FileState | None = None
+    partial: int | None = None  # where an unfinished last line begins
+    settled: dict[int, tuple] = field(default_factory=dict)  # templates of the finished lines: id -> (pattern, count, example line)
+    classify: Callable[[DataFrame], DataFrame] | None = None
+    content: Callable[[DataFrame], DataFrame] | None = None
+    appends: int = 0
     times: StageTimes = field(default_factory=StageTimes)
     schema: dict[str, str] = field(default_factory=dict)
     _matches: OrderedDict = field(default_factory=OrderedDict)
@@ -59,7 +69,10 @@ class Document:
             df.unpersist()
 
     def view(self, filtered: bool) -> DataFrame:
-        df = self.lines if self.trimmed is None else self.lines.filter(F.col("line_no").between(*self.trimmed))
+        df = self.lines
+        if self.trimmed is not None:
+            lo, hi = self.trimmed
+            df = df.filter(F.col("line_no") >= lo) if hi is None else df.filter(F.col("line_no").between(lo, hi))
         return self.filters.apply(df) if filtered and self.filters.specs else df
 
 
@@ -76,14 +89,15 @@ class Session:
 
     def load_log(self, path: str, reference_ms: int | None = None, time_format: str | None = None, profile: str | None = None) -> dict:
         """Reads, indexes and mines a file; profile is a declared header layout."""
-        return self.load_lines(read_lines(self.spark, path), reference_ms, time_format, profile)
+        state = file_state(path) if os.path.isfile(path) else None
+        return self.load_lines(read_lines(self.spark, path), reference_ms, time_format, profile, path if state else None, state)
 
     def load_log_async(self, path: str, **options: Any) -> Job:
         """load_log in the background, with progress and cancellation."""
         return Job(self.spark, lambda: self.load_log(path, **options))
 
-    def load_lines(self, raw: DataFrame, reference_ms: int | None = None, time_format: str | None = None, profile: str | None = None) -> dict:
-        """raw: (doc_id, line_no, text) of one log."""
+    def load_lines(self, raw: DataFrame, reference_ms: int | None = None, time_format: str | None = None, profile: str | None = None, path: str | None = None, state: FileState | None = None) -> dict:
+        """raw: (doc_id, line_no, text) of one log; path and state: of the file, if it may grow."""
         times = StageTimes()
         with times.stage("indexing"):
             total = raw.count()
@@ -91,54 +105,100 @@ class Session:
             d = formats.diagnose(raw, total, time_format)
         family = families.BY_NAME.get(d.time_format) if d.time_format else None
         if profile:
-            return self._load_declared(raw, total, d, profile, reference_ms, time_format, times)
-        line = F.col("text")
-        if d.format == "json" and d.time_key:
-            ms, header = formats.json_time(line, d.time_key), line.rlike(r"^\s*\{.*\}\s*$")
-        elif d.format == "rfc5424":
-            ms, header = families.time_of(F.regexp_extract(line, r"^<\d+>\d+ (\S+)", 1), families.BY_NAME["ISO-8601"]), line.rlike(formats.RECOGNIZERS["rfc5424"])
-        elif family is not None:
-            ms = families.time_of(line, family, reference_ms)
-            stamp = families.matched(line, family)
-            at = F.call_function("locate", stamp, line)
-            header = (F.length(stamp) > 0) & ((at == 1) | ((at == 2) & line.rlike(r"^[\[IWEF]")) | (line.rlike(r"^\S+ \S+ \S+ \[") & F.lit(family.name == "Apache CLF")))
-            header = header if family.recognizes_invalid else header & ms.isNotNull()
-        else:
-            ms, header = F.lit(None).cast("long"), F.lit(False)
-        df = raw.withColumn("is_header", F.coalesce(header, F.lit(False))).withColumn("header_ms", F.when(F.col("is_header"), ms))
-        df = df.withColumn("header_state", F.when(~F.col("is_header"), None).when(F.col("header_ms").isNotNull(), "explicit").otherwise("invalid" if d.format == "plain" else "missing"))
-        df = records.record_state(df, ["doc_id"]).withColumn("ts_ms", F.col("owner_ms"))
-        content = formats.normalised(df.select("line_no", "text"), d.format, family).select("line_no", "content")
-        with times.stage("mining"):
-            numbered, templates = drain.mine(content)
-        return self._keep(df, numbered, templates, d, total, times, {})
+            return self._load_declared(raw, total, d, profile, reference_ms, time_format, times, path, state)
+        classify = lambda lines: _classified(lines, d, family, reference_ms)
+        content = lambda df: formats.normalised(df.select("line_no", "text"), d.format, family).select("line_no", "content")
+        return self._keep(raw, classify, content, d, total, times, {}, path, state)
 
-    def _load_declared(self, raw: DataFrame, total: int, d: formats.Diagnostics, layout: str, reference_ms: int | None, named: str | None, times: StageTimes) -> dict:
+    def _load_declared(self, raw: DataFrame, total: int, d: formats.Diagnostics, layout: str, reference_ms: int | None, named: str | None, times: StageTimes, path: str | None, state: FileState | None) -> dict:
         p = profiles.compile_layout(layout)
         confidence, names = profiles.resolve_time(p, formats.sample_lines(raw, total), named)
         if len(names) != 1:
             raise ValueError(f"the time of the layout is {confidence.lower()}: {', '.join(names) or 'no family fits'}")
         family = families.BY_NAME[names[0]]
-        m = profiles.match_lines(raw, layout, profiles.Recognizer([family]), ["doc_id", "line_no", "text"])
-        values = F.transform_values("fields", lambda _, v: v["value"])
-        df = m.select("doc_id", "line_no", "text", F.col("matched").alias("is_header"), F.col("time_state").alias("header_state"), F.when(F.col("matched"), values).alias("fields"))
-        df = df.withColumn("header_ms", F.when(F.col("header_state") == "explicit", families.time_of(F.col("fields")["time"], family, reference_ms)))
-        df = records.record_state(df, ["doc_id"]).withColumn("ts_ms", F.col("owner_ms"))
-        content = masking.masked(df.select("line_no", F.coalesce(F.col("fields")["log"], F.col("text")).alias("content")), "content")
-        with times.stage("mining"):
-            numbered, templates = drain.mine(content)
-        d = formats.Diagnostics("profile", family.name, confidence, (), d.sampled_lines, None)
-        return self._keep(df, numbered, templates, d, total, times, p.schema)
 
-    def _keep(self, df: DataFrame, numbered: DataFrame, templates: DataFrame, d: formats.Diagnostics, total: int, times: StageTimes, schema: dict[str, str]) -> dict:
-        if "fields" not in df.columns:
-            df = df.withColumn("fields", F.lit(None).cast("map<string,string>"))
-        lines = df.join(numbered, "line_no", "left").select("doc_id", "line_no", "text", "ts_ms", "header_ms", "provenance", "record_id", "fields", "template_id").persist(StorageLevel.MEMORY_AND_DISK)
+        def classify(lines: DataFrame) -> DataFrame:
+            m = profiles.match_lines(lines, layout, profiles.Recognizer([family]), ["doc_id", "line_no", "text"])
+            values = F.transform_values("fields", lambda _, v: v["value"])
+            df = m.select("doc_id", "line_no", "text", F.col("matched").alias("is_header"), F.col("time_state").alias("header_state"), F.when(F.col("matched"), values).alias("fields"))
+            return df.withColumn("header_ms", F.when(F.col("header_state") == "explicit", families.time_of(F.col("fields")["time"], family, reference_ms)))
+
+        content = lambda df: masking.masked(df.select("line_no", F.coalesce(F.col("fields")["log"], F.col("text")).alias("content")), "content")
+        d = formats.Diagnostics("profile", family.name, confidence, (), d.sampled_lines, None)
+        return self._keep(raw, classify, content, d, total, times, p.schema, path, state)
+
+    def _keep(self, raw: DataFrame, classify: Callable, content: Callable, d: formats.Diagnostics, total: int, times: StageTimes, schema: dict[str, str], path: str | None, state: FileState | None) -> dict:
+        empty = self.spark.createDataFrame([], _LINES)
+        doc = Document("", empty, self.spark.createDataFrame([], _TEMPLATES), d, 0, times=times, schema=schema, path=path, state=state, classify=classify, content=content)
+        if state is not None:
+            start = last_line_start(path, state.size)
+            doc.partial = start if start < state.size or state.size == 0 else None
+        with times.stage("mining"):
+            self._extend(doc, raw, 0, total)
         self._next += 1
-        doc = Document(f"log_{self._next}", lines, templates.persist(StorageLevel.MEMORY_AND_DISK), d, total, times=times, schema=schema)
+        doc.log_id = f"log_{self._next}"
         self.documents[doc.log_id] = doc
         return self.stats(doc.log_id)
 
+    def _extend(self, doc: Document, raw: DataFrame, first: int, total: int) -> None:
+        """Puts lines from number `first` on in place of the document's; everything is published at the end at once.
+
+        Record state goes on from the last header before, the miner from the templates of the finished lines. An
+        unfinished last line is mined on top of them and forgotten when it is read again.
+        """
+        df = doc.classify(raw)
+        if "fields" not in df.columns:
+            df = df.withColumn("fields", F.lit(None).cast("map<string,string>"))
+        before = doc.lines.filter(F.col("line_no") < first)
+        headers = before.filter(F.col("provenance").isin("explicit", "missing", "invalid"))
+        last = headers.agg(F.max_by(F.struct("doc_id", "line_no", "header_ms", "provenance", "record_id"), "line_no").alias("r")).first().r if first else None
+        columns = ["doc_id", "line_no", "text", "is_header", "header_ms", "header_state", "fields"]
+        df = df.select(columns)
+        if last is not None:  # the open record's header goes along
+            df = df.unionByName(self.spark.createDataFrame([(last.doc_id, last.line_no, None, True, last.header_ms, last.provenance, None)], df.schema))
+        df = records.record_state(df.withColumn("log", F.lit(0)), ["log"]).filter(F.col("line_no") >= first)
+        df = df.withColumn("ts_ms", F.col("owner_ms")).withColumn("record_id", F.col("record_id") + F.lit(last.record_id if last is not None else 0))
+        df = stage(df, "document-lines")
+        finished = total - (doc.partial is not None)
+        content = doc.content(df)
+        numbered, templates = drain.mine(content.filter(F.col("line_no") < finished), stored=_stored(doc.settled))
+        settled = _merged(doc.settled, templates)
+        shown = settled
+        if doc.partial is not None:
+            tail, more = drain.mine(content.filter(F.col("line_no") >= finished), stored=_stored(settled))
+            numbered, shown = numbered.unionByName(tail), _merged(settled, more)
+        new = df.join(numbered, "line_no", "left").select(*[f.split()[0] for f in _LINES.split(", ")]).persist(StorageLevel.MEMORY_AND_DISK)
+        lines = before.unionByName(new) if first else new
+        doc.appends += bool(first)
+        if first and doc.appends % 16 == 0:  # a plan of many small parts is written as one
+            lines = stage(lines, "document")
+        old, matches = doc.templates, OrderedDict()
+        for key, df in doc._matches.items():  # matchers are extended from the first changed line on
+            spec = filters.FilterSpec(key[0], key[1], regex=key[2], template_id=key[3])
+            matches[key] = df.filter(F.col("line_no") < first).unionByName(new.filter(filters.matches(spec)).select(df.columns)).persist(StorageLevel.MEMORY_AND_DISK)
+        doc.lines, doc._matches, doc.settled, doc.total = lines.persist(StorageLevel.MEMORY_AND_DISK), matches, settled, total
+        doc.templates = self.spark.createDataFrame([(i, *t) for i, t in sorted(shown.items())], _TEMPLATES).persist(StorageLevel.MEMORY_AND_DISK)
+        old.unpersist()
+
+    def append(self, log_id: str | None = None) -> dict:
+        """Reads what a log's file has gained; says which line changed first and how many came."""
+        d = self._doc(log_id)
+        if d.state is None:
+            raise ValueError("only a log of one file can grow")
+        change = file_change(d.state, d.path)
+        if change == "unchanged":
+            return {"log_id": d.log_id, "first_changed_line": None, "added_lines": 0, "total_lines": d.total}
+        if change != "appended":
+            raise ValueError(f"{d.path} was {change}: load it again")
+        now, was = file_state(d.path), d.total
+        first = d.total - (d.partial is not None)
+        raw = stage(read_range(self.spark, d.path, d.state.size if d.partial is None else d.partial, now.size, first), "appended")
+        total = first + raw.count()
+        start = last_line_start(d.path, now.size)
+        d.partial, d.state = (start if start < now.size else None), now
+        self._extend(d, raw, first, total)
+        return {"log_id": d.log_id, "first_changed_line": first + 1, "added_lines": total - was, "total_lines": total}
+
     def _doc(self, log_id: str | None) -> Document:
         if log_id is None and len(self.documents) == 1:
             return next(iter(self.documents.values()))
@@ -261,7 +321,7 @@ class Session:
         if e.first_line is None:
             raise ValueError("a trim keeps at least one line")
         report = select.trim_report(d.view(False), sel).first().asDict()
-        d.trimmed = (e.first_line, e.end_line - 1)
+        d.trimmed = (e.first_line, e.end_line - 1 if e.end_line < d.total else None)  # an open end follows what is appended
         return report
 
     def add_analysis(self, text: str, lines: list[int], log_id: str | None = None) -> dict:
@@ -273,6 +333,42 @@ class Session:
         return {"analysis": self._doc(log_id).pins}
 
 
+_LINES = "doc_id string, line_no bigint, text string, ts_ms bigint, header_ms bigint, provenance string, record_id bigint, fields map<string,string>, template_id int"
+_TEMPLATES = "template_id int, pattern string, n bigint, example_line bigint"
+
+
+def _classified(lines: DataFrame, d: formats.Diagnostics, family: families.Family | None, reference_ms: int | None) -> DataFrame:
+    """Adds is_header, header_ms and header_state by the document's format."""
+    line = F.col("text")
+    if d.format == "json" and d.time_key:
+        ms, header = formats.json_time(line, d.time_key), line.rlike(r"^\s*\{.*\}\s*$")
+    elif d.format == "rfc5424":
+        ms, header = families.time_of(F.regexp_extract(line, r"^<\d+>\d+ (\S+)", 1), families.BY_NAME["ISO-8601"]), line.rlike(formats.RECOGNIZERS["rfc5424"])
+    elif family is not None:
+        ms = families.time_of(line, family, reference_ms)
+        stamp = families.matched(line, family)
+        at = F.call_function("locate", stamp, line)
+        header = (F.length(stamp) > 0) & ((at == 1) | ((at == 2) & line.rlike(r"^[\[IWEF]")) | (line.rlike(r"^\S+ \S+ \S+ \[") & F.lit(family.name == "Apache CLF")))
+        header = header if family.recognizes_invalid else header & ms.isNotNull()
+    else:
+        ms, header = F.lit(None).cast("long"), F.lit(False)
+    df = lines.withColumn("is_header", F.coalesce(header, F.lit(False))).withColumn("header_ms", F.when(F.col("is_header"), ms))
+    return df.withColumn("header_state", F.when(~F.col("is_header"), None).when(F.col("header_ms").isNotNull(), "explicit").otherwise("invalid" if d.format == "plain" else "missing"))
+
+
+def _stored(settled: dict[int, tuple]) -> list[tuple[int, list[str], int]]:
+    return [(i, pattern.split(), n) for i, (pattern, n, _) in settled.items()]
+
+
+def _merged(settled: dict[int, tuple], found: DataFrame) -> dict[int, tuple]:
+    """Templates with what was mined since: counts add up, the first example stays."""
+    out = dict(settled)
+    for r in found.collect():
+        _, n, example = out.get(r.template_id, (None, 0, r.example_line))
+        out[r.template_id] = (r.pattern, n + r.n, example)
+    return out
+
+
 def _rows(df: DataFrame) -> list[dict]:
     return [r.asDict(recursive=True) for r in df.collect()]
 

@@ -13,6 +13,7 @@ import tempfile
 import zipfile
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -76,6 +77,49 @@ def event_lines(spark: SparkSession, sf_dir: str, *extra: str) -> DataFrame:
     return number_rows(rows, "event_id", ["doc_id"], out="line_no").select("doc_id", "line_no", "ts_ms", "text", *extra)
 
 
+#: Bytes of a growing file that one task reads.
+CHUNK = 64 << 20
+
+
+def read_range(spark: SparkSession, path: str, begin: int, end: int, first_line: int) -> DataFrame:
+    """(doc_id, line_no, text) of the lines that begin in a byte range of a file; begin lies at the start of a line."""
+
+    def read(batches):  # noqa: ANN001, ANN202
+        for pdf in batches:
+            for lo, hi in zip(pdf["lo"].tolist(), pdf["hi"].tolist()):
+                with open(path, "rb") as f:
+                    f.seek(max(0, lo - 1))
+                    at = lo
+                    if lo > begin and f.read(1) != b"\n":
+                        at += len(f.readline())
+                    f.seek(at)
+                    rows = []
+                    while at < hi and (raw := f.readline()):
+                        rows.append((at, raw.rstrip(b"\n").rstrip(b"\r").decode("utf-8", "replace")))
+                        at += len(raw)
+                if rows:
+                    yield pd.DataFrame(rows, columns=["byte_start", "text"])
+
+    ranges = [(lo, min(lo + CHUNK, end)) for lo in range(begin, end, CHUNK)]
+    rows = spark.createDataFrame(ranges, "lo long, hi long").repartition(max(1, len(ranges)), "lo").mapInPandas(read, "byte_start long, text string")
+    numbered = number_rows(rows.withColumn("doc_id", F.lit(path)), "byte_start", ["doc_id"])
+    return numbered.select("doc_id", (F.col("position") + first_line).alias("line_no"), "text")
+
+
+def last_line_start(path: str, size: int) -> int:
+    """Where the unfinished last line of a file begins; its size if every line is finished."""
+    with open(path, "rb") as f:
+        end = size
+        while end > 0:
+            begin = max(0, end - (1 << 16))
+            f.seek(begin)
+            at = f.read(end - begin).rfind(b"\n")
+            if at >= 0:
+                return begin + at + 1
+            end = begin
+    return 0
+
+
 @dataclass(frozen=True)
 class FileState:
     size: int

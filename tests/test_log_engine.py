@@ -418,3 +418,35 @@ def test_miner_keeps_whole_what_a_cut_would_split(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "line_no long, content string")
     got = {r.line_no: r.content for r in drain.route(df).collect()}
     assert got == {0: texts[0], 1: "a" * 4094 + "é", 2: "a" * 4096, 3: texts[3], 4: texts[4]}
+
+
+def test_append_equals_a_fresh_load(spark, tmp_path):
+    lines = [f"2024-01-01T00:00:{i:02d}Z INFO request {i} from {w}" for i, w in enumerate(["anna", "bo", "cy"])]
+    lines += ["  more of it", "", "2024-01-01T00:01:00Z ERROR disk full", "2024-01-01T00:01:05Z INFO request 9 from d\u00fc", "tail \u20ac of it"]
+    whole = "\n".join(lines).encode()
+    seen = lambda s, i: (
+        [tuple(r)[1:] for r in s.documents[i].lines.orderBy("line_no").drop("fields").collect()], sorted(map(tuple, s.documents[i].templates.collect())), s.documents[i].total)
+    cuts = [len("\n".join(lines[:2]).encode()) + 1, len("\n".join(lines[:3]).encode()), len("\n".join(lines[:6]).encode()) + 9, whole.index("\u00fc".encode()) + 1, len(whole)]
+    p = tmp_path / "a.log"
+    p.write_bytes(whole[: cuts[0]])
+    s = Session(spark)
+    s.load_log(str(p))
+    assert s.search("request", log_id="log_1")["total_matches"] == 2
+    s.trim(1, 2)
+    assert s.append()["added_lines"] == 0
+    for a, b in zip(cuts, cuts[1:]):
+        before = s.documents["log_1"].total
+        with p.open("ab") as f:
+            f.write(whole[a:b])
+        r = s.append()
+        finished = whole[:a].count(b"\n")
+        assert r["first_changed_line"] == finished + 1 and r["total_lines"] - before == r["added_lines"]
+        fresh = Session(spark)
+        fresh.load_log(str(p))
+        assert seen(s, "log_1") == seen(fresh, "log_1")
+    assert s.documents["log_1"].view(False).count() == len(lines)  # the open end of the trim followed
+    s.trim()
+    assert s.search("request", log_id="log_1")["total_matches"] == 4
+    p.write_bytes(b"x")
+    with pytest.raises(ValueError, match="shrunk"):
+        s.append()
