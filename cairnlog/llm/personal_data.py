@@ -118,11 +118,14 @@ def _characters(text: str) -> list[tuple[int, int, str]]:
 
 def _small(text: str) -> str:
     """Small letters, also where an expression that ignores case takes one letter for another."""
-    return text.lower() if text.isascii() else text.translate(_ODD_CASES).lower()
+    if not text.isascii() and any(c in text for c in _ODD):
+        text = text.translate(_ODD_CASES)
+    return text.lower()
 
 
 # Letters whose other case lies outside their alphabet.
-_ODD_CASES = str.maketrans({"\u0130": "i", "\u0131": "i", "\u017f": "s", "\u212a": "k"})
+_ODD = "\u0130\u0131\u017f\u212a"
+_ODD_CASES = str.maketrans(_ODD, "iisk")
 
 
 def _digits(text: str) -> list[tuple[int, int, str]]:
