@@ -48,6 +48,18 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ts.instants(inline.unionByName(oracle).filter("stamp is not null"), table(spark, sf_dir, "detection_diagnostics"))
 
 
+#: Stamps whose instant SQL can tell too: ISO dates and times with an offset.
+_ZONED = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:[0-9]{2}:[0-9]{2}([.][0-9]{1,6})?(Z|[+-][0-9]{2}:[0-9]{2})$"
+
+
+def p4_zoned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The instants of p4_found that ISO stamps with an offset denote."""
+    found = p4_found(spark, sf_dir)
+    inline = table(spark, sf_dir, "inline_contract").filter(F.col("fields.time").rlike(_ZONED)).select(F.lit("inline_contract").alias("src"), F.col("line_id").alias("row_id"))
+    oracle = table(spark, sf_dir, "oracle_lines").filter((F.col("class") == "header") & F.col("timestamp").rlike(_ZONED)).select(F.lit("oracle_lines").alias("src"), "row_id")
+    return found.join(inline.unionByName(oracle).distinct(), ["src", "row_id"], "left_semi").select("src", "row_id", "epoch_ms")
+
+
 def _undeclared(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "inline_contract").filter("template is null").select("case_id", "line_no", "line")
 
@@ -61,14 +73,18 @@ def p5_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return le.with_messages(lines, le.entries(lines))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_states, p1_change_counts, p3_found, p3_profile, p4_found, p5_found, p5_entries)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_states, p1_change_counts, p3_found, p3_profile, p4_found, p4_zoned, p5_found, p5_entries)}
 
 _PROFILE = """
 SELECT '{t}' AS tbl, id, count(*) AS rows, CAST(sum(v) AS BIGINT) AS total, max(v) AS largest,
        CAST(quantile_disc(v, 0.5) AS BIGINT) AS p50, CAST(quantile_disc(v, 0.95) AS BIGINT) AS p95
 FROM (SELECT DISTINCT row_id, id, "{v}" AS v FROM {t}) GROUP BY id"""
 
+_ZONED_ROWS = f"SELECT src, row_id, epoch_ms(TRY_CAST(stamp AS TIMESTAMPTZ)) AS epoch_ms FROM (QUERY) WHERE regexp_matches(stamp, '{_ZONED}') AND TRY_CAST(stamp AS TIMESTAMPTZ) IS NOT NULL"
+
 ORACLE = {
+    "p4_zoned": "SELECT DISTINCT * FROM (" + " UNION ALL ".join(_ZONED_ROWS.replace("QUERY", q) for q in (
+        "SELECT 'inline_contract' AS src, line_id AS row_id, fields.time AS stamp FROM inline_contract", "SELECT 'oracle_lines' AS src, row_id, timestamp AS stamp FROM oracle_lines WHERE class = 'header'")) + ")",
     "p3_found": " UNION ALL ".join(f"SELECT '{t}' AS tbl, id FROM {t} WHERE id IS NOT NULL GROUP BY id HAVING count(*) >= 0.02 * (SELECT count(*) FROM {t})" for t, _ in _P3),
     "p3_profile": " UNION ALL ".join(_PROFILE.format(t=t, v=v) for t, v in _P3),
 }

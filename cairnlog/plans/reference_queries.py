@@ -166,7 +166,9 @@ def match_time_range(spark, d):
     return _lines(spark, d).filter(filters.matches(FilterSpec("signup"))).agg(F.min("ts_ms").alias("first_ms"), F.max("ts_ms").alias("last_ms"))
 
 
-@query()
+@query(f"""WITH {_L} SELECT line_no, 0 AS filter, 25 AS start, 30 AS "end" FROM L WHERE event_type = 'error'
+ UNION ALL SELECT line_no, 0, CAST(instr(text, 'action=error') + 6 AS INT), CAST(instr(text, 'action=error') + 11 AS INT) FROM L WHERE event_type = 'error'
+ UNION ALL SELECT line_no, 1, CAST(instr(text, 'action') - 1 AS INT), CAST(instr(text, 'action') + 5 AS INT) FROM L""")
 def highlight_spans(spark, d):
     return filters.highlight_spans(_lines(spark, d), [FilterSpec("err(or)?", regex=True), FilterSpec("action")])
 
@@ -456,18 +458,26 @@ def mask_lines(spark, d):
     return formats.normalised(_lines(spark, d).select("line_no", "text"), "plain", families.BY_NAME["ISO-8601"]).select("line_no", "content")
 
 
-_TOKENS = ["10.0.0.1:8080", "a@b.example", "https://x.test/y", "123e4567-e89b-12d3-a456-426614174000", "14:30:22.123", "fe80::1:2", "retry=5", "path=/var/log/a.log", "C:\\dir\\f", "3.5s", "-12.5", "deadbeef01", "worker-12", "plain", "key=word", "{\"a\":1}", "state=on", "id=deadbeef01"]
+#: Words of each class that an event's numbers and words make, in Spark and in SQL alike, and what they are masked to.
+_WORDS = [
+    ("concat('10.0.', user_id % 256, '.1:8080')", "'<IP>'"), ("concat('u', user_id, '@b.example')", "'<EMAIL>'"), ("concat('https://x.test/', user_id)", "'<URL>'"), ("concat('123e4567-e89b-12d3-a456-', lpad(cast(event_id as string), 12, '0'))", "'<UUID>'"),
+    ("concat('14:30:', lpad(cast(user_id % 60 as string), 2, '0'), '.123')", "'<TIME>'"), ("concat('fe80::1:', user_id % 10)", "'<IPV6>'"), ("concat('retry=', user_id)", "'retry=<NUM>'"), ("concat('/var/log/', event_type)", "'<PATH>'"), ("concat(user_id, '.5s')", "'<TIME>'"),
+    ("concat('-', user_id, '.5')", "'<NUM>'"), ("concat('deadbeef', lpad(cast(user_id % 100 as string), 2, '0'))", "'<HEX>'"), ("concat('worker-', user_id)", "'worker-<NUM>'"), ("event_type", "event_type"), ("concat('key=', event_type)", "concat('key=', event_type)"), ("concat('{\"a\":', user_id, '}')", "'<JSON>'"),
+]
 
 
-@query()
+@query(" UNION ALL ".join(f"SELECT event_id, {w} AS token, {m} AS masked FROM events WHERE user_id IS NOT NULL" for w, m in _WORDS))
 def mask_tokens(spark, d):
-    t = spark.createDataFrame([(x,) for x in _TOKENS], "token string")
-    return t.select("token", masking.mask_token(F.col("token")).alias("masked"))
+    e = table(spark, d, "events").filter("user_id is not null")
+    t = e.select("event_id", F.explode(F.array(*[F.expr(w) for w, _ in _WORDS])).alias("token"))
+    return t.select("event_id", "token", masking.mask_token(F.col("token")).alias("masked"))
 
 
-@query(f"WITH {_L} SELECT 'user=<NUM>' AS masked, count(*) AS n FROM L")
+@query(rf"""WITH {_L}, W AS (SELECT unnest(string_split(text, ' ')[2:]) AS w FROM L)
+ SELECT CASE WHEN regexp_matches(w, '^(user|value)=') THEN regexp_replace(w, '=-?\d+$', '=<NUM>') WHEN regexp_matches(w, '^\d+\}}$') THEN '<NUM>}}' ELSE w END AS masked, count(*) AS n FROM W GROUP BY 1""")
 def mask_class_counts(spark, d):
-    t = _lines(spark, d).select(masking.mask_token(F.element_at(F.split("text", " "), 3)).alias("masked"))
+    """All words of the event lines behind their stamp, masked one by one."""
+    t = _lines(spark, d).select(F.explode(F.slice(F.split("text", " "), 2, 1_000_000)).alias("w")).select(masking.mask_token(F.col("w")).alias("masked"))
     return t.groupBy("masked").agg(F.count("*").alias("n"))
 
 
