@@ -486,12 +486,12 @@ def _mined(spark, d):
     return drain.mine(content)
 
 
-_B = """K AS (SELECT *, event_type = 'error' AS bad FROM L), B AS (SELECT bad, CAST(row_number() OVER (ORDER BY min(line_no)) AS INT) AS template_id,
+_BOTH = """K AS (SELECT *, event_type = 'error' AS bad FROM L), B AS (SELECT bad, CAST(row_number() OVER (ORDER BY min(line_no)) AS INT) AS template_id,
  CASE WHEN bad THEN 'ERROR' ELSE 'INFO' END || ' user=<NUM> ' || CASE WHEN count(DISTINCT event_type) > 1 THEN '<*>' ELSE 'action=' || any_value(event_type) END || ' value=<NUM> props={"k": <NUM>}' AS pattern,
  count(*) AS n, min(line_no) AS example_line FROM K GROUP BY bad)"""
 
 
-@query(f"WITH {_L}, {_B} SELECT template_id, pattern, n, example_line FROM B")
+@query(f"WITH {_L}, {_BOTH} SELECT template_id, pattern, n, example_line FROM B")
 def templates(spark, d):
     return _mined(spark, d)[1].select("template_id", "pattern", "n", "example_line")
 
@@ -501,7 +501,7 @@ def template_patterns(spark, d):
     return _mined_messages(spark, d)[1].select("template_id", "pattern", "n", "example_line")
 
 
-@query(f"WITH {_L}, {_B} SELECT line_no, template_id FROM K JOIN B USING (bad)")
+@query(f"WITH {_L}, {_BOTH} SELECT line_no, template_id FROM K JOIN B USING (bad)")
 def template_lines(spark, d):
     return _mined(spark, d)[0]
 
