@@ -29,7 +29,7 @@ def extract_template(spark: SparkSession, log: str, store: str, output: str, lay
         old = counts.get(r.template_id, [None, 0])
         counts[r.template_id] = [r.pattern.split(" "), old[1] + r.n]
     stores.save_templates(store, [(i, t, c) for i, (t, c) in counts.items()])
-    ids = [r.template_id for r in numbered.orderBy("line_no").collect()]
+    ids = [r.template_id for r in numbered.orderBy("line_no").toLocalIterator(prefetchPartitions=True)]  # the file to write holds one id a line; rows come partition by partition
     stores.write_atomically(output, {"schema_version": 1, "source_file": log, "format": layout, "line_count": len(ids), "template_ids": ids})
     return {"lines": len(ids), "templates": len(counts), "new_templates": len(counts) - len(before)}
 

@@ -11,7 +11,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairnlog.functions.families import BY_NAME, FAMILIES, Family
@@ -98,6 +98,11 @@ def compile_advanced(pattern: str) -> Profile:
     return Profile((), {"timestamp": "timestamp", "log": "message"} | {n: "text" for n in regex.groupindex if n not in ("timestamp", "log")}, regex)
 
 
+def compile_profile(text: str) -> Profile:
+    r"""A layout, or an advanced profile if the text begins with \A."""
+    return compile_advanced(text) if text.startswith(r"\A") else compile_layout(text)
+
+
 _NUMBER = re.compile(r"[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?")
 _PATH = re.compile(r"(?:[A-Za-z]:[\\/]|\\\\|/|\.{1,2}[\\/]|[A-Za-z][A-Za-z0-9+.-]*://).*|.*[/\\].*|.*\.[A-Za-z0-9]{1,8}")
 
@@ -245,26 +250,27 @@ def preview(profile: Profile, lines: list[str], recognizer: Recognizer, most: in
     return out
 
 
-def match_lines(df: DataFrame, profile: str, recognizer: Recognizer, key: list[str], text: str = "text", named_profile: str | None = None) -> DataFrame:
+def match_lines(df: DataFrame, profile: str, recognizer: Recognizer, key: list[str], text: str = "text", named_profile: str | None = None, first: Column | None = None) -> DataFrame:
     """Adds to the key: matched, time_state, byte spans and values of the fields, by Arrow batches.
 
-    profile: a layout, or with named_profile the column that holds each line's layout (compiled once per worker).
+    profile: a layout or advanced profile, or with named_profile the column that holds each line's (compiled once per
+    worker). first: whether a line is the first of its file, where a byte-order mark is no part of the header.
     """
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*key).schema)
-    src = df.select(*key, F.col(text).alias("_text"), F.col(named_profile).alias("_layout") if named_profile else F.lit(profile).alias("_layout"))
+    src = df.select(*key, F.col(text).alias("_text"), F.col(named_profile).alias("_layout") if named_profile else F.lit(profile).alias("_layout"), F.coalesce(first if first is not None else F.lit(False), F.lit(False)).alias("_first"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         compiled: dict[str, Profile | None] = {}
         for pdf in batches:
             rows = []
-            for line, layout in zip(pdf["_text"], pdf["_layout"]):
+            for line, layout, begins in zip(pdf["_text"], pdf["_layout"], pdf["_first"]):
                 if layout not in compiled:
                     try:
-                        compiled[layout] = compile_layout(layout) if layout else None
+                        compiled[layout] = compile_profile(layout) if layout else None
                     except ValueError:
                         compiled[layout] = None
                 p = compiled[layout]
-                m = match(p, line or "", recognizer) if p else None
+                m = match(p, line or "", recognizer, begins) if p else None
                 if m is None:
                     rows.append((False, None, None))
                     continue

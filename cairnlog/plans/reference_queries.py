@@ -576,6 +576,20 @@ def profile_time_spans_all(spark, d):
     return m.select("row_id", "line", shape.alias("shape"), "span_start", "span_end", "found_start", "found_end", verdict.alias("verdict"))
 
 
+@query(f"WITH {_L} SELECT line_no, 'explicit' AS time_state, regexp_extract(text, '^[^ ]+') AS time, CAST(user_id AS VARCHAR) AS user_id, regexp_extract(text, '(action=.*)$', 1) AS log FROM L")
+def profile_layout(spark, d):
+    """Fields that a declared layout with a typed field reads from the event lines."""
+    m = profiles.match_lines(_lines(spark, d), "{time} {level} user={user_id:number} {log}", profiles.Recognizer([families.BY_NAME["ISO-8601"]]), ["line_no"])
+    return m.filter("matched").select("line_no", "time_state", *[F.expr(f"fields['{f}'].value").alias(f) for f in ("time", "user_id", "log")])
+
+
+@query(f"WITH {_L} SELECT line_no, regexp_extract(text, '^[^ ]+') AS time, event_type AS action, regexp_extract(text, '(value=.*)$', 1) AS log, CAST(instr(text, 'action=') + 6 AS INT) AS action_start FROM L")
+def profile_advanced(spark, d):
+    """The same by an advanced profile: an expression with named groups."""
+    m = profiles.match_lines(_lines(spark, d), r"\A(?<timestamp>\S+) [A-Z]+ user=\d+ action=(?<action>\w+) (?<log>.*)", profiles.Recognizer([families.BY_NAME["ISO-8601"]]), ["line_no"])
+    return m.filter("matched").select("line_no", F.expr("fields['timestamp'].value").alias("time"), *[F.expr(f"fields['{f}'].value").alias(f) for f in ("action", "log")], F.expr("fields['action'].start").alias("action_start"))
+
+
 @query()
 def profile_fields(spark, d):
     """Fields that each declared layout reads from the lines of its log."""

@@ -111,17 +111,18 @@ class Session:
         return self._keep(raw, classify, content, d, total, times, {}, path, state)
 
     def _load_declared(self, raw: DataFrame, total: int, d: formats.Diagnostics, layout: str, reference_ms: int | None, named: str | None, times: StageTimes, path: str | None, state: FileState | None) -> dict:
-        p = profiles.compile_layout(layout)
+        p = profiles.compile_profile(layout)
+        time = "time" if p.regex is None else "timestamp"
         confidence, names = profiles.resolve_time(p, formats.sample_lines(raw, total), named)
         if len(names) != 1:
             raise ValueError(f"the time of the layout is {confidence.lower()}: {', '.join(names) or 'no family fits'}")
         family = families.BY_NAME[names[0]]
 
         def classify(lines: DataFrame) -> DataFrame:
-            m = profiles.match_lines(lines, layout, profiles.Recognizer([family]), ["doc_id", "line_no", "text"])
+            m = profiles.match_lines(lines, layout, profiles.Recognizer([family]), ["doc_id", "line_no", "text"], first=F.col("line_no") == 0)
             values = F.transform_values("fields", lambda _, v: v["value"])
             df = m.select("doc_id", "line_no", "text", F.col("matched").alias("is_header"), F.col("time_state").alias("header_state"), F.when(F.col("matched"), values).alias("fields"))
-            return df.withColumn("header_ms", F.when(F.col("header_state") == "explicit", families.time_of(F.col("fields")["time"], family, reference_ms)))
+            return df.withColumn("header_ms", F.when(F.col("header_state") == "explicit", families.time_of(F.col("fields")[time], family, reference_ms)))
 
         content = lambda df: masking.masked(df.select("line_no", F.coalesce(F.col("fields")["log"], F.col("text")).alias("content")), "content")
         d = formats.Diagnostics("profile", family.name, confidence, (), d.sampled_lines, None)
@@ -281,10 +282,10 @@ class Session:
         rows = analytics.histogram(sel, axis, buckets).orderBy("bucket").collect()
         return {"domain": "time" if axis == "ts_ms" else "line", "buckets": len(rows), "x": [r.x for r in rows], "counts": [r.n for r in rows], "total": sum(r.n for r in rows)}
 
-    def get_template_anomalies(self, with_filtered_log: bool = True, log_id: str | None = None) -> dict:
+    def get_template_anomalies(self, with_filtered_log: bool = True, log_id: str | None = None, offset: int = 0) -> dict:
         d = self._doc(log_id)
         found = analytics.anomalies(d.view(with_filtered_log), ["doc_id"]).join(d.templates.select("template_id", "pattern"), "template_id")
-        return {"anomalies": _rows(found.orderBy(F.desc("n_reasons"), "n", "template_id"))}
+        return {"anomalies": _rows(found.orderBy(F.desc("n_reasons"), "n", "template_id").offset(offset).limit(PAGE))}
 
     def get_template(self, ids: list[int] | None = None, log_id: str | None = None) -> dict:
         d = self._doc(log_id)

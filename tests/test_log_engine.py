@@ -450,3 +450,17 @@ def test_append_equals_a_fresh_load(spark, tmp_path):
     p.write_bytes(b"x")
     with pytest.raises(ValueError, match="shrunk"):
         s.append()
+
+
+def test_marks_and_advanced_profiles_on_tables(spark, tmp_path):
+    lines = [(0, "\ufeff[2024-01-01T00:00:00Z] one"), (1, "more"), (2, "[2024-01-01T00:00:05Z] two")]
+    df = spark.createDataFrame(lines, "line_no long, text string")
+    for layout, time in (("[{time}] {log}", "time"), (r"\A\[(?<timestamp>[^\]]+)\] (?<log>.*)", "timestamp")):
+        m = {r.line_no: r for r in profiles.match_lines(df, layout, profiles.Recognizer(families.FAMILIES), ["line_no"], first=df.line_no == 0).collect()}
+        assert [m[i].matched for i in range(3)] == [True, False, True] and m[0].fields[time].value == "2024-01-01T00:00:00Z" and m[0].fields["log"].value == "one"
+    p = tmp_path / "a.log"
+    p.write_text("\n".join(t for _, t in lines) + "\n")
+    s = Session(spark)
+    s.load_log(str(p), profile=r"\A\[(?<timestamp>[^\]]+)\] (?<log>.*)")
+    got = [(r.record_id, r.ts_ms) for r in s.documents["log_1"].lines.orderBy("line_no").collect()]
+    assert got == [(0, 1704067200000), (0, 1704067200000), (1, 1704067205000)]
