@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -36,6 +37,11 @@ class Profile:
     regex: re.Pattern | None = None
     indent: str = ""
 
+    @cached_property
+    def time_then_message(self) -> bool:
+        """Whether the layout is a time, blanks and the message: read without a search."""
+        return [p.kind for p in self.parts] == ["timestamp", "", "message"] and not self.parts[1].literal.strip(" \t")
+
 
 def compile_layout(layout: str, indent: str = "") -> Profile:
     if len(layout.encode()) > MAX_LAYOUT_BYTES:
@@ -167,6 +173,9 @@ def match(profile: Profile, line: str, recognizer: Recognizer, first_line: bool
         return {"spans": spans, "time_state": states[0]} if states else None
     limit, found, steps = min(len(line), at + MAX_HEADER), [], [0]
     parts = profile.parts
+    if profile.time_then_message:
+        ways = [(end, state, begin) for end, state in recognizer.ends(line, at) if (begin := _literal(parts[1].literal, line, end, limit)) is not None]
+        return {"spans": {"time": (at, ways[0][0]), "log": (ways[0][2], len(line))}, "time_state": ways[0][1]} if len(ways) == 1 else None
 
     def walk(k: int, pos: int, spans: tuple, state: str) -> None:
         steps[0] += 1

@@ -464,3 +464,14 @@ def test_marks_and_advanced_profiles_on_tables(spark, tmp_path):
     s.load_log(str(p), profile=r"\A\[(?<timestamp>[^\]]+)\] (?<log>.*)")
     got = [(r.record_id, r.ts_ms) for r in s.documents["log_1"].lines.orderBy("line_no").collect()]
     assert got == [(0, 1704067200000), (0, 1704067200000), (1, 1704067205000)]
+
+
+def test_time_then_message_reads_as_the_search_does(monkeypatch):
+    fast, slow = profiles.compile_layout("{time} {log}"), profiles.compile_layout("{time} {log}")
+    slow.__dict__["time_then_message"] = False
+    r = profiles.Recognizer(families.FAMILIES)
+    stamps = ["2024-01-01T00:00:00Z", "2024-01-01 00:00:00.123", "Jan  2 03:04:05", "1704067200", "99:99", "", "2024-13-01T00:00:00Z", "\ufeff2024-01-01T00:00:00Z", "\x1b[31m2024-01-01T00:00:00Z"]
+    lines = [a + b for a in stamps for b in ("", " ", " x", "\t \ty z", "x", " 00:00:01 z", "Z +01:00 q")]
+    assert fast.time_then_message and not slow.time_then_message
+    got = [profiles.match(fast, x, r, True) for x in lines]
+    assert got == [profiles.match(slow, x, r, True) for x in lines] and any(got)
